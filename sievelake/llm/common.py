@@ -63,3 +63,12 @@ def null_id(column: Column) -> Column:
 
 def full_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes up to which a table whose rows were counted is broadcast; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its counted rows take at most ``limit`` bytes."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
