@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.storage import new_path, shared_dir, sized_broadcast, written  # noqa: F401
+
 #: Stands for a missing doc_id inside an operator, so that such rows sort last and join like any other.
 NO_ID = 2**63 - 1
-_count = itertools.count()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local master may leave it unset; a temporary folder is then made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="sievelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievelake/{name}-{next(_count)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` doesn't have, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -63,12 +38,3 @@ def null_id(column: Column) -> Column:
 
 def full_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-#: Bytes up to which a table whose rows were counted is broadcast; beyond it, both sides are shuffled.
-BROADCAST_BYTES = 48 << 20
-
-
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its counted rows take at most ``limit`` bytes."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
