@@ -27,7 +27,7 @@ SPACE_BYTE = np.zeros(256, dtype=bool)
 SPACE_BYTE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes handled at once by the kernels; it bounds their temporaries, not what they process.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -144,24 +144,25 @@ def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     return distinct.select("id", "th", "no").join(sized_broadcast(later, 40), ["id", "th", "no"], "left_anti")
 
 
+def _without(t: str | None, kept: list[int] | None) -> str | None:
+    if t is None or not t.strip(_SPACES + "\n"):
+        return t
+    if not kept:
+        return None
+    keep, no, lines = set(kept), -1, []
+    for line in t.split("\n"):
+        solid = bool(line.strip(_SPACES))
+        no += solid
+        if not solid or no in keep:
+            lines.append(line)
+    return t if len(keep) == no + 1 else "\n".join(lines)
+
+
 @F.arrow_udf(StringType())
 def _rebuilt(text: pa.Array, kept: pa.Array) -> pa.Array:
     """The text less the lines that aren't in ``kept``; null if no line is left of some."""
-    out = []
-    for t, k in zip(text.to_pylist(), kept.to_pylist()):
-        if t is None or not any(c not in " \t\r\f\v\n" for c in t[:64]) and not t.strip(_SPACES + "\n"):
-            out.append(t)
-        elif not k:
-            out.append(None)
-        else:
-            keep, no, lines = set(k), -1, []
-            for line in t.split("\n"):
-                solid = bool(line.strip(_SPACES))
-                no += solid
-                if not solid or no in keep:
-                    lines.append(line)
-            out.append(t if len(keep) == no + 1 else "\n".join(lines))
-    return pa.array(out, pa.string())
+    part = lambda i: map(_without, text.slice(i, 256).to_pylist(), kept.slice(i, 256).to_pylist())
+    return pa.concat_arrays([pa.array(part(i), pa.string()) for i in range(0, len(text), 256)] or [pa.array([], pa.string())])
 
 
 def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
