@@ -38,3 +38,12 @@ def null_id(column: Column) -> Column:
 
 def full_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes of a batch that is handed to Python; it bounds the memory of a worker, not what is processed.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit for Arrow batches, which counts rows by default, to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import fresh, id_or_last, sized_broadcast, written
+from .common import bounded_batches, fresh, id_or_last, sized_broadcast, written
 from .kernels import BYTE_MIX, SPACE_BYTE, _powers, buffers, mix64, slices, span_hashes, words
 
 MAX_EDITS = 1
@@ -124,6 +124,7 @@ def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     """(id, th, no) of the lines that stay, one row for each distinct line."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
     rows = keyed.where("text is not null").mapInArrow(_line_rows(min_chars), "id long, th long, no int, h long, n int, k0 long, k1 long, k2 long, k3 long")
     firsts = rows.groupBy("h", "n").agg(F.min(F.struct("id", "th", "no", "k0", "k1", "k2", "k3")).alias("first"))
