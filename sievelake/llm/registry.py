@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, lm, mixing, neardup, packing, quality
+from . import lines, lm, mixing, neardup, packing, quality, repeats
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_target_mixing": op6_target_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {}
