@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lines, lm, mixing, neardup, packing, quality, repeats
+from . import lines, lm, mixing, neardup, packing, quality, repeats, topk
 from .common import table
 
 
@@ -22,6 +23,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances are rounded to six digits, for comparison with SQL."""
+    found = topk.nearest(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -42,10 +49,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_exact_topk": op4_exact_topk,
     "op5_line_dedup": op5_line_dedup,
     "op6_target_mixing": op6_target_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_exact_topk": """
+        WITH pairs AS (
+            SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS r FROM pairs
+        )
+        SELECT vec_id, r::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE r <= 10
+    """,
+}
