@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, lm, mixing, neardup, packing, quality, repeats, topk
+from . import licenses, lines, lm, media, mixing, neardup, packing, quality, repeats, topk
 from .common import table
 
 
@@ -45,6 +45,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no media, so each page is pictured from all its words first."""
+    pages = table(spark, sf_dir, "pages")
+    return media.copied_images(pages.select(F.col("page_id").alias("id"), media.thumbnail(F.col("html")).alias("image")))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_target_mixing": op6_target_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_media_copies": op9_media_copies,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
