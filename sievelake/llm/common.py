@@ -41,7 +41,7 @@ def full_text(column: str = "text") -> Column:
 
 
 #: Bytes of a batch that is handed to Python; it bounds the memory of a worker, not what is processed.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType
 
 from sievelake.operators.components import connected_components
 
-from .common import NO_ID, fresh, id_or_last, null_id, sized_broadcast, written
+from .common import bounded_batches, fresh, id_or_last, null_id, sized_broadcast, written
 from .kernels import buffers, mix64, row_bounds, shingles, slices, span_hashes, words
 
 WIDTH = 3
@@ -188,6 +188,7 @@ def near_duplicate_members(docs: DataFrame, *, width: int = WIDTH, bands: int =
     """(id, th, first) for every row of ``docs`` that is in a group of two rows or more; a written table."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
     kind = "id long, th long, node long, size int, bands array<long>"
     sketched = written(keyed.mapInArrow(_sketch_rows(width, bands, rows), kind), "sketches")

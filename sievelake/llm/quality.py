@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import bounded_batches, fresh, written
 from .kernels import buffers, row_bounds, shingles, slices, span_hashes, words
 
 FEATURES = 256
@@ -168,6 +168,7 @@ def _summed(df: DataFrame, per_partition, width: int) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge: float = RIDGE, max_labels: int = MAX_LABELS, seed: int = 11) -> QualityModel | None:
     """Fit on the labelled documents; ``max_labels`` bounds the labelled sample (lowest hashes of doc_id)."""
+    bounded_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(max_labels)
     joined = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
