@@ -1,0 +1,8 @@
+"""Quality assurance and deduplication of large datasets on Spark."""
+
+from sievelake.operators.minhash import MinHasher, TextDedupResult, find_near_duplicates
+from sievelake.operators.reports import DiffResult, ReportSummary, diff_scans, generate_report
+from sievelake.scanning import ScanMetadata, ScanResult, scan
+from sievelake.version import __version__
+
+__all__ = ["DiffResult", "MinHasher", "ReportSummary", "ScanMetadata", "ScanResult", "TextDedupResult", "__version__", "diff_scans", "find_near_duplicates", "generate_report", "scan"]
