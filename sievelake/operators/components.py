@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.storage import written
+from sievelake.storage import discard, written
 
 #: Up to so many edges, one task joins them (about 200 bytes an edge); beyond it, stars are contracted by shuffles.
 ONE_TASK_EDGES = 1_000_000
@@ -56,18 +56,21 @@ def connected_components(edges: DataFrame, *, one_task_edges: int = ONE_TASK_EDG
     if edges.count() <= one_task_edges:
         return _one_task(edges, kind)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    edges = edges.where("a != b")
-    last = None
+    stars, last = None, None
+    now = edges.where("a != b")
     for _ in range(MAX_ROUNDS):
-        both = edges.union(edges.select("b", "a"))
+        both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        edges = written(small, "stars")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, stars = stars, written(small, "stars")
+        if before is not None:
+            discard(before)
+        now = stars
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
-            return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
         last = seen
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

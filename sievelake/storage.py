@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import tempfile
 import uuid
@@ -29,16 +30,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sievelake/{name}-{next(_count)}-{uuid.uuid4().hex}"
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+_open: dict[str, SparkSession] = {}
+
+
+def _delete_rest() -> None:
+    for path, spark in _open.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before
+            return
+
+
+atexit.register(_delete_rest)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The table is deleted by :func:`discard`, or when the driver ends.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{shared_dir(spark)}/sievelake/{name}-{next(_count)}-{uuid.uuid4().hex}"
+    _open[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written`, once all that was made of them is itself written."""
+    for table in tables:
+        path = table.written_to
+        _delete(_open.pop(path), path)
 
 
 def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
