@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.storage import new_path, shared_dir, sized_broadcast, written  # noqa: F401
+from sievelake.storage import discard, shared_dir, sized_broadcast, written  # noqa: F401
 
 #: Stands for a missing doc_id inside an operator, so that such rows sort last and join like any other.
 NO_ID = 2**63 - 1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded_batches, fresh, id_or_last, sized_broadcast, written
+from .common import bounded_batches, discard, fresh, id_or_last, sized_broadcast, written
 from .kernels import BYTE_MIX, SPACE_BYTE, _powers, buffers, mix64, slices, span_hashes, words
 
 MAX_EDITS = 1
@@ -120,8 +120,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_or_last().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, th, no) of the lines that stay, one row for each distinct line."""
+def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, th, no) of the lines that stay, one row for each distinct line; the written tables it is made of."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     bounded_batches(docs.sparkSession)
@@ -130,7 +130,7 @@ def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     firsts = rows.groupBy("h", "n").agg(F.min(F.struct("id", "th", "no", "k0", "k1", "k2", "k3")).alias("first"))
     distinct = written(firsts.select("h", "n", "first.*"), "lines-distinct")
     if not max_edits:
-        return distinct.select("id", "th", "no")
+        return distinct.select("id", "th", "no"), [distinct]
     halves = distinct.where(f"n >= {min_chars}").select("id", "th", "no", "h", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k")).where("k != 0")
     shared = halves.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("k")
     able = written(halves.join(shared, "k").select("id", "th", "no").distinct().groupBy("id", "th").agg(F.collect_list("no").alias("nos")), "lines-able")
@@ -142,7 +142,8 @@ def first_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     both = pairs.join(line.select(F.col("h").alias("p"), F.col("at").alias("at_p"), F.col("line").alias("line_p")), "p").join(line.select(F.col("h").alias("q"), F.col("at").alias("at_q"), F.col("line").alias("line_q")), "q")
     near = both.where(F.levenshtein("line_p", "line_q", max_edits) >= 0)
     later = written(near.select(F.greatest("at_p", "at_q").alias("at")).select("at.*").distinct(), "lines-later")
-    return distinct.select("id", "th", "no").join(sized_broadcast(later, 40), ["id", "th", "no"], "left_anti")
+    discard(able, chosen)
+    return distinct.select("id", "th", "no").join(sized_broadcast(later, 40), ["id", "th", "no"], "left_anti"), [distinct, later]
 
 
 def _without(t: str | None, kept: list[int] | None) -> str | None:
@@ -168,9 +169,10 @@ def _rebuilt(text: pa.Array, kept: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines; the columns are those of ``docs``."""
-    kept = first_lines(docs, max_edits=max_edits, min_chars=min_chars)
+    kept, tables = first_lines(docs, max_edits=max_edits, min_chars=min_chars)
     i, t, k, new = fresh(docs, "id", "th", "kept", "new")
     lists = written(kept.groupBy("id", "th").agg(F.collect_list("no").alias("nos")).select(F.col("id").alias(i), F.col("th").alias(t), F.col("nos").alias(k)), "lines-kept")
+    discard(*tables)
     text = F.col("text").cast("string")
     joined = docs.withColumns({i: id_or_last(), t: F.xxhash64(text)}).join(sized_broadcast(lists, 100), [i, t], "left")
     blank = text.isNull() | (F.length(F.btrim(text, F.lit(_SPACES + "\n"))) == 0)

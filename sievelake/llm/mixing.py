@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import discard, fresh, written
 from .kernels import buffers, slices, span_hashes, words
 
 #: Shares of all words that each language should have.
@@ -190,6 +190,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     text = F.col("text").cast("string")
     table = written(docs.select(_posterior(model, text).alias("s")).select("s.*"), "posteriors")
     rates, *_ = fit_rates(table, weights, total_words=total_words, min_rate=min_rate)
+    discard(table)
 
     @F.arrow_udf("double")
     def rate(column: pa.Array) -> pa.Array:

@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType
 
 from sievelake.operators.components import connected_components
 
-from .common import bounded_batches, fresh, id_or_last, null_id, sized_broadcast, written
+from .common import bounded_batches, discard, fresh, id_or_last, null_id, sized_broadcast, written
 from .kernels import buffers, mix64, row_bounds, shingles, slices, span_hashes, words
 
 WIDTH = 3
@@ -207,11 +207,15 @@ def near_duplicate_members(docs: DataFrame, *, width: int = WIDTH, bands: int =
     x, y = open_.alias("x"), open_.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = written(_verified(cross.join(tried, ["a", "b"], "left_anti"), sets, threshold), "cross-edges")
+    discard(wanted, sets, tried, buckets, open_)
     if more.count():
-        label = written(connected_components(edges.union(more)), "labels")
+        first, label = label, written(connected_components(edges.union(more)), "labels")
+        discard(first)
     member = sketched.select("id", "th", "node").join(label, "node", "left").select("id", "th", F.coalesce("component", "node").alias("c"))
     groups = member.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return written(member.join(groups.select("c", "first"), "c").select("id", "th", "first"), "near-members")
+    found = written(member.join(groups.select("c", "first"), "c").select("id", "th", "first"), "near-members")
+    discard(sketched, edges, more, label)
+    return found
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, written
+from .common import bounded_batches, discard, fresh, written
 from .kernels import buffers, row_bounds, shingles, slices, span_hashes, words
 
 FEATURES = 256
@@ -178,6 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES,
     sums = _summed(fit, lambda s, y: np.concatenate([s.sum(0), (s**2).sum(0), [len(s), y.sum()]]), 2 * d + 2)
     n = sums[-2]
     if not n or not 0 < sums[-1] < n:
+        discard(seen)
         return None
     mean = sums[:d] / n
     scale = np.maximum(np.sqrt(np.maximum(sums[d : 2 * d] / n - mean**2, 0)), 1e-6)
@@ -205,6 +206,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES,
     counts = _summed(seen.where("held"), binned, 2 * BINS)
     if not counts[:BINS].sum():  # too few labels to hold any out
         counts = _summed(fit, binned, 2 * BINS)
+    discard(seen)
     used = np.flatnonzero(counts[:BINS])
     model.knots = pool_adjacent((used + 0.5) / BINS * 3 - 1, counts[BINS:][used] / counts[:BINS][used], counts[:BINS][used])
     return model

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_or_last, null_id, shared_dir, sized_broadcast, written
+from .common import bounded_batches, discard, id_or_last, null_id, shared_dir, sized_broadcast, written
 from .induced import BLOCK_ITEMS, HELD_ITEMS, Scratch, common_runs, suffix_blocks
 from .kernels import BYTE_MIX, SPACE_BYTE, _powers, buffers, mix64, row_bounds, shingles, slices, span_hashes, words
 
@@ -153,7 +153,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int
     keyed = docs.select(id_or_last().alias("id"), text.alias("text")).where("text is not null").select(F.xxhash64("id", "text").alias("d"), "id", "text")
     anchors = written(keyed.mapInArrow(_anchor_rows(min_words, gram), "fp long, ctx long, d long, id long, start int, size int"), "anchors")
     hot = written(anchors.groupBy("fp").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("fp"), "hot-anchors")
-    held = written(anchors.join(sized_broadcast(hot, 30), "fp"), "held-contexts")
+    held = written(anchors.join(sized_broadcast(hot, 48), "fp"), "held-contexts")
+    discard(anchors, hot)
     context = held.groupBy("fp", "ctx", "size").agg(F.min(F.struct("d", "start")).alias("rep"), F.max("d").alias("hi")).withColumn("lo", F.col("rep.d"))
     several = context.groupBy("fp").agg(F.count("*").alias("contexts"))
     context = written(context.join(several, "fp"), "contexts")
@@ -166,6 +167,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int
     ranges = shards.mapInArrow(_shard_rows(min_words, shared_dir(spark), block_items, held_items), "fp long, ctx long, a int, b int")
     alone = context.where(f"contexts = 1 and size >= {min_words}").select("fp", "ctx", F.lit(0).alias("a"), F.col("size").alias("b"))
     ranges = written(ranges.union(alone), "context-ranges")
+    discard(context, wanted, once)
     spans = held.join(ranges, ["fp", "ctx"]).select("id", "d", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).groupBy("id", "d", "a").agg(F.max("b").alias("b"))
     order = Window.partitionBy("id", "d").orderBy("a")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
