@@ -3,13 +3,17 @@
 The suffixes that begin local minima of the text are named and ordered by recursion; the order of all
 others is induced in two scans, larger-first suffixes by ascending and smaller-first ones by
 descending first symbol (Bingmann, Fischer and Osipov, 2013).  A scan takes its tuples (symbol, rank
-of the following suffix, position) from a disk-backed queue that is cut into blocks of symbols.  A
-block is loaded, closed under predecessors that belong to the same block, ordered, and its other
-predecessors are pushed to later blocks; so memory holds the text and one block, and a block is as
-large as ``block_items`` or the share of a single symbol.  Within a block, a tuple's order depends on
-a chain of followers; chains are resolved by pointer doubling.
-
-Common prefixes are needed up to a bound only, and are taken from neighbours of the finished order.
+of the following suffix, position, common prefix of that suffix and the one of the tuple before) from
+a disk-backed queue that is cut into blocks of symbols.  A block is loaded, closed under predecessors
+that belong to the same block, ordered, and its other predecessors are pushed to later blocks; so
+memory holds the text and one block, and a block is as large as ``block_items`` or the share of a
+single symbol.  Within a block, a tuple's order depends on a chain of followers; chains are resolved
+by pointer doubling.
+
+Neighbours with the same first symbol share one symbol more than the suffixes that follow them, and
+these share the least of the common prefixes between their ranks.  So values, capped at ``bound``,
+go along with the tuples and through the recursion; only pieces that the recursion tells apart, and
+the borders between larger-first and smaller-first suffixes of a symbol, are compared directly.
 """
 
 from __future__ import annotations
@@ -156,61 +160,132 @@ def _blocks(count: np.ndarray, items: int) -> np.ndarray:
     return _dense(block)
 
 
-def suffix_blocks(text: np.ndarray, scratch: Scratch, *, block_items: int = BLOCK_ITEMS, held_items: int = HELD_ITEMS, in_memory: int = IN_MEMORY) -> Iterator[np.ndarray]:
-    """Blocks of suffix positions, each in order, from the last block to the first.
-
-    ``text`` has symbols 0..; a symbol's suffixes are all in one block.
+def _compared(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, bound: int) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, of which ``known`` symbols are known, up to ``bound``."""
+    out = np.minimum(known, bound).astype(np.int64)
+    open_ = np.flatnonzero(out < bound)
+    while len(open_):
+        x, y = a[open_] + out[open_], b[open_] + out[open_]
+        open_, x, y = (z[(x < len(text)) & (y < len(text))] for z in (open_, x, y))
+        open_ = open_[text[x] == text[y]]
+        out[open_] += 1
+        open_ = open_[out[open_] < bound]
+    return out
+
+
+class _RangeMinimum:
+    def __init__(self, values: np.ndarray):
+        self.tables = [values.astype(np.int16)]
+        while 2 << (len(self.tables) - 1) <= len(values):
+            half, last = 1 << (len(self.tables) - 1), self.tables[-1]
+            self.tables.append(np.minimum(last[:-half], last[half:]))
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Over lo..hi, both included."""
+        out = np.zeros(len(lo), np.int64)
+        level = np.frexp((hi - lo + 1).astype(float))[1] - 1
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.tables[k][lo[at]], self.tables[k][hi[at] - (1 << int(k)) + 1])
+        return out
+
+
+def suffix_blocks(text: np.ndarray, scratch: Scratch, *, bound: int = 50, block_items: int = BLOCK_ITEMS, held_items: int = HELD_ITEMS, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (positions in order, common prefix of each with the one before), from the last block to the first.
+
+    ``text`` has symbols 0..; a symbol's suffixes are all in one block.  Common prefixes count up to ``bound``.
     """
     text = np.asarray(text, dtype=np.int64)
     n = len(text)
     if n <= in_memory:
         if n:
-            yield _doubling(text)
+            order = _doubling(text)
+            yield order, np.r_[0, _compared(text, order[:-1], order[1:], np.zeros(n - 1, np.int64), bound)]
         return
-    options = {"block_items": block_items, "held_items": held_items, "in_memory": in_memory}
     small = _smaller_first(text)
     minima = np.flatnonzero(small & ~np.r_[True, small[:-1]])
     names = _named(text, small, minima)
     if len(minima) and names.max() < len(minima) - 1:
-        parts = list(suffix_blocks(names, scratch, **options))
-        order = minima[np.concatenate(parts[::-1])]
+        parts = list(suffix_blocks(names, scratch, bound=bound, block_items=block_items, held_items=held_items, in_memory=in_memory))[::-1]
+        order, shared = (np.concatenate(c) for c in zip(*parts))
+        past = np.r_[minima, n][order + np.minimum(shared, len(minima) - order)]
+        order, shared = minima[order], past - minima[order]
     else:
-        order = np.empty_like(minima)
+        order, shared = np.empty_like(minima), np.zeros(len(minima), np.int64)
         order[names] = minima
-    count = np.bincount(text)
-    block_of = _blocks(count, block_items)
+    if len(order):
+        shared = np.r_[0, _compared(text, order[:-1], order[1:], shared[1:], bound)]
+    block_of = _blocks(np.bincount(text), block_items)
     blocks = int(block_of[-1]) + 1
     edge = np.searchsorted(block_of[text[order]], np.arange(blocks + 1))
-    queue, kept = DiskQueue(scratch, 3, held_items), DiskQueue(scratch, 1, held_items)
-    queue.push(block_of[text[n - 1 :]], text[n - 1 :], np.array([-1]), np.array([n - 1]))
+    kept = DiskQueue(scratch, 2, held_items)
+    first = (block_of[text[n - 1 :]], text[n - 1 :], np.array([-1]), np.array([n - 1]), np.array([0]))
+    seeds = lambda b: (order[edge[b] : edge[b + 1]], shared[edge[b] : edge[b + 1]])
+    for b, at, common in _scanned(text, ~small, block_of, range(blocks), seeds, DiskQueue(scratch, 4, held_items), first, bound):
+        larger = np.flatnonzero(~small[at])
+        kept.push(np.full(len(larger), b), at[larger], common[larger])
+
+    def larger_down(b: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = kept.pop(b)[::-1]  # what one shares with the one before, the one before shares with it
+        return rows[:, 0], np.r_[0, rows[:-1, 1]][: len(rows)]
+
+    for _, at, common in _scanned(text, small, block_of, range(blocks - 1, -1, -1), larger_down, DiskQueue(scratch, 4, held_items), None, bound):
+        yield at[::-1], np.r_[0, common[1:][::-1]][: len(at)]
+
+
+def _scanned(text, wanted, block_of, sequence, seeds, queue: DiskQueue, first, bound: int):
+    """One scan: (block, positions, common prefixes with the position before), as the scan meets them.
+
+    In a symbol's share, suffixes of the wanted kind come first: those that earlier blocks have
+    pushed, then those that this block induces; the seeds come last.
+    """
+    up = sequence.step > 0
+    if first is not None:
+        queue.push(*first)
     base = 0
-    for b in range(blocks):
-        known, seeds = queue.pop(b), order[edge[b] : edge[b + 1]]
-        members, follower = _closed(np.r_[known[:, 2], seeds], text, ~small, block_of, b)
-        first = len(known) + len(seeds)
+    for b in sequence:
+        known, (ends, ends_common) = queue.pop(b), seeds(b)
+        members, follower = _closed(np.r_[known[:, 2], ends], text, wanted, block_of, b)
         kind = np.full(len(members), 1)
-        kind[: len(known)], kind[len(known) : first] = 0, 2
-        second = np.zeros(len(members), np.int64)
-        second[: len(known)], second[len(known) : first] = known[:, 1], np.arange(len(seeds))
-        done = _ordered(text[members], kind, second, follower)
-        at = members[done]
-        larger = at[~small[at]]
-        kept.push(np.full(len(larger), b), larger)
-        _push_before(queue, at, base + np.arange(len(at)), text, ~small, block_of, lambda x: x > b)  # noqa: B023
+        second, value = np.zeros(len(members), np.int64), np.zeros(len(members), np.int64)
+        k, e = len(known), len(known) + len(ends)
+        kind[:k], kind[k:e] = 0, 2
+        second[:k], second[k:e] = known[:, 1], np.arange(len(ends))
+        value[:k], value[k:e] = np.minimum(known[:, 3] + 1, bound), ends_common
+        symbol = text[members] if up else -text[members]
+        done = _ordered(symbol, kind, second, follower)
+        at, kind, common = members[done], kind[done], value[done]
+        place = np.empty_like(done)
+        place[done] = np.arange(len(done))
+        same = np.r_[False, text[at[1:]] == text[at[:-1]]][: len(at)]
+        common[~same] = 0
+        border = np.flatnonzero(same & (kind == 2) & (np.r_[2, kind[:-1]] != 2)) if len(at) else np.zeros(0, np.int64)
+        common[border] = _compared(text, at[border - 1], at[border], np.ones(len(border), np.int64), bound)
+        inner = np.flatnonzero(same & (kind == 1))
+        common[inner] = 1  # where the one before is of an earlier block, as their followers begin differently
+        inner = inner[kind[inner - 1] == 1]
+        if len(inner):
+            lo, hi = place[follower[done[inner - 1]]] + 1, place[follower[done[inner]]]
+            common[inner] = bound
+            while True:
+                now = np.minimum(_RangeMinimum(common).least(lo, hi) + 1, bound)
+                if np.array_equal(now, common[inner]):
+                    break
+                common[inner] = now
+        ok = np.flatnonzero(at > 0)
+        ok = ok[wanted[at[ok] - 1]]
+        to = block_of[text[at[ok] - 1]]
+        ok = ok[to > b if up else to < b]
+        before = at[ok] - 1
+        turn = np.argsort(text[before], kind="stable")
+        here, c = ok[turn], text[before[turn]]
+        pair = np.flatnonzero(np.r_[False, c[1:] == c[:-1]]) if len(c) else np.zeros(0, np.int64)
+        carried = np.zeros(len(ok), np.int64)
+        if len(pair):
+            carried[turn[pair]] = _RangeMinimum(common).least(here[pair - 1] + 1, here[pair])
+        queue.push(block_of[text[before]], text[before], base + ok, before, carried)
         base += len(at)
-    begin = np.cumsum(np.bincount(block_of, count, blocks)).astype(np.int64)
-    queue = DiskQueue(scratch, 3, held_items)
-    for b in range(blocks - 1, -1, -1):
-        known, larger = queue.pop(b), kept.pop(b)[:, 0]
-        members, follower = _closed(np.r_[known[:, 2], larger], text, small, block_of, b)
-        first = len(known) + len(larger)
-        kind = np.full(len(members), 1)
-        kind[: len(known)], kind[len(known) : first] = 2, 0
-        second = np.zeros(len(members), np.int64)
-        second[: len(known)], second[len(known) : first] = known[:, 1], np.arange(len(larger))
-        at = members[_ordered(text[members], kind, second, follower)]
-        _push_before(queue, at, begin[b] - len(at) + np.arange(len(at)), text, small, block_of, lambda x: x < b)  # noqa: B023
-        yield at
+        yield b, at, common
 
 
 def _closed(start: np.ndarray, text, wanted, block_of, b) -> tuple[np.ndarray, np.ndarray]:
@@ -241,23 +316,9 @@ def _ordered(symbol, kind, second, follower) -> np.ndarray:
     return done
 
 
-def _push_before(queue: DiskQueue, at, rank, text, wanted, block_of, later) -> None:
-    ok = np.flatnonzero(at > 0)
-    ok = ok[wanted[at[ok] - 1]]
-    before = at[ok] - 1
-    block = block_of[text[before]]
-    out = later(block)
-    queue.push(block[out], text[before[out]], rank[ok][out], before[out])
-
-
-def common_runs(text: np.ndarray, order: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
-    """Group number of each position of a sorted block: neighbours share it whose first ``length`` symbols
-    are equal; -1 where fewer than ``length`` symbols remain (``room``)."""
-    a, b = order[:-1], order[1:]
-    equal = np.flatnonzero((room[a] >= length) & (room[b] >= length))
-    for d in range(length):
-        equal = equal[text[a[equal] + d] == text[b[equal] + d]]
-    same = np.zeros(len(order), bool)
-    same[equal + 1] = True
-    group = np.cumsum(~same)
-    return np.where(room[order] >= length, group, -1)
+def common_runs(order: np.ndarray, common: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+    """Group number of each position of a block: neighbours share it whose first ``length`` symbols are
+    equal; -1 where fewer than ``length`` symbols remain (``room``)."""
+    able = room[order] >= length
+    same = np.r_[False, (common[1:] >= length) & able[1:] & able[:-1]][: len(order)]
+    return np.where(able, np.cumsum(~same), -1)

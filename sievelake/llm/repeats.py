@@ -8,8 +8,8 @@ gives, for each document, the maximal ranges of words that repeated windows cove
    may elect it decides about these windows alone.  Anchors found in one document only are dropped.
 2. Contexts are sharded by anchor.  Equal contexts are represented by one, with the smallest and
    largest document that has it.  Each shard's contexts are concatenated and their suffixes ordered
-   by external induced sorting (:mod:`.induced`), whose queues spill to the shared folder; suffixes
-   whose first ``min_words`` words agree are neighbours, and are repeated if their documents differ.
+   by external induced sorting (:mod:`.induced`), whose queues spill to the shared folder and carry
+   common prefixes; neighbours that share ``min_words`` words are repeated if their documents differ.
 3. The ranges are brought back to all holders of a context and merged.
 
 Only step 1 sees all words; it is one narrow pass that leaves about one anchor in 18 words.
@@ -123,8 +123,8 @@ def _shard_rows(min_words: int, shared: str, block_items: int, held_items: int):
         room = end[context] - 1 - np.arange(len(text))
         scratch, hits = Scratch(shared, f"sievelake/suffixes-{uuid.uuid4().hex}"), [np.zeros(0, np.int64)]
         try:
-            for order in suffix_blocks(text, scratch, block_items=block_items, held_items=held_items):
-                group = common_runs(text, order, room, min_words)
+            for order, common in suffix_blocks(text, scratch, bound=min_words, block_items=block_items, held_items=held_items):
+                group = common_runs(order, common, room, min_words)
                 order, group = order[group >= 0], group[group >= 0]
                 if len(order):
                     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])

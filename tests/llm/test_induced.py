@@ -9,8 +9,15 @@ def brute(text):
     return sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("seed", range(60))
-def test_order_equals_brute_force(tmp_path, seed):
+def shared(text, a, b, bound):
+    n = 0
+    while n < bound and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_order_and_common_prefixes_equal_brute_force(tmp_path, seed):
     rng = np.random.default_rng(seed)
     n, sigma = int(rng.integers(0, 400)), int(rng.choice([1, 2, 3, 10, 200]))
     text = rng.integers(0, sigma, n)
@@ -18,16 +25,21 @@ def test_order_equals_brute_force(tmp_path, seed):
         text = np.r_[text, text[5:], text[: n // 2]]
     if seed % 7 == 0:
         text = np.r_[text, np.full(150, sigma - 1), text]
-    scratch = induced.Scratch(str(tmp_path), "s")
-    parts = list(induced.suffix_blocks(text, scratch, block_items=int(rng.choice([1, 7, 50, 1000])), held_items=int(rng.choice([5, 100])), in_memory=4))
+    scratch, bound = induced.Scratch(str(tmp_path), "s"), int(rng.choice([1, 5, 50, 300]))
+    parts = list(induced.suffix_blocks(text, scratch, bound=bound, block_items=int(rng.choice([1, 7, 50, 1000])), held_items=int(rng.choice([5, 100])), in_memory=int(rng.choice([4, 40]))))[::-1]
     scratch.close()
-    assert np.concatenate(parts[::-1]).tolist() == brute(text) if parts else not len(text)
     assert not any(tmp_path.iterdir())
+    if not len(text):
+        assert not parts
+        return
+    order, common = (np.concatenate(c).tolist() for c in zip(*parts))
+    assert order == brute(text)
+    assert common == [0, *(shared(text, a, b, bound) for a, b in zip(order, order[1:]))]
 
 
-def test_common_runs(tmp_path):
+def test_common_runs():
     text = np.array([5, 1, 2, 3, 9, 1, 2, 3, 8, 1, 2, 0])
     order = np.array(brute(text))
-    room = len(text) - np.arange(len(text))
-    group = dict(zip(order.tolist(), induced.common_runs(text, order, room, 3).tolist()))
+    common = np.array([0, *(shared(text, a, b, 9) for a, b in zip(order, order[1:]))])
+    group = dict(zip(order.tolist(), induced.common_runs(order, common, len(text) - np.arange(len(text)), 3).tolist()))
     assert group[1] == group[5] != group[9] and group[10] == -1
