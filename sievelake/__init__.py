@@ -5,4 +5,4 @@ from sievelake.operators.reports import DiffResult, ReportSummary, diff_scans, g
 from sievelake.scanning import ScanMetadata, ScanResult, scan
 from sievelake.version import __version__
 
-__all__ = ["DiffResult", "MinHasher", "ReportSummary", "ScanMetadata", "ScanResult", "TextDedupResult", "__version__", "diff_scans", "find_near_duplicates", "generate_report", "scan"]
+__all__ = ["scan", "generate_report", "diff_scans", "MinHasher", "find_near_duplicates", "ScanResult", "ScanMetadata", "ReportSummary", "DiffResult", "TextDedupResult", "__version__"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import argparse
-import json
 import logging
 import sys
+from argparse import ArgumentParser, Namespace, _SubParsersAction
+from json import JSONDecodeError, dumps, loads
 from pathlib import Path
 
 from sievelake.operators.reports import diff_scans, generate_report
-from sievelake.scanning import scan
+from sievelake.scanning import checked_root, scan
 from sievelake.signing import canonical_json_bytes, sign_payload, verify_payload
 from sievelake.sources.scan_json import load_scan_file, save_json, to_text
 from sievelake.version import __version__
@@ -19,11 +19,15 @@ log = logging.getLogger("sievelake")
 
 
 class JsonLines(logging.Formatter):
-    def format(self, record: logging.LogRecord) -> str:
-        line = {"timestamp": self.formatTime(record, "%Y-%m-%dT%H:%M:%S"), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
-        if record.exc_info and record.exc_info[0]:
-            line["exception"] = self.formatException(record.exc_info)
-        return json.dumps(line, ensure_ascii=False)
+    default_time_format = "%Y-%m-%dT%X"
+
+    def format(self, record) -> str:
+        values = (self.formatTime(record), record.levelname, record.name, record.getMessage())
+        line = dict(zip(("timestamp", "level", "logger", "message"), values))
+        trace = record.exc_info
+        if trace and trace[0]:
+            line |= {"exception": self.formatException(trace)}
+        return dumps(line, ensure_ascii=False)
 
 
 class _Refused(Exception):
@@ -34,16 +38,14 @@ def parse_extensions(listed: str) -> set[str] | None:
     """``".TXT, jpg"`` to {txt, jpg}; nothing means no filter, only commas mean that nothing passes."""
     if not listed:
         return None
-    return {x.strip().lower().lstrip(".") for x in listed.split(",")} - {""} if listed.strip(", ") else set()
+    return {part.strip().lstrip(".").lower() for part in listed.split(",")} - {""}
 
 
 def _root(path: str) -> Path:
-    root = Path(path).resolve()
-    if not root.exists():
-        raise FileNotFoundError(f"there is no folder {root}")
-    if not root.is_dir():
-        raise ValueError(f"{root} is no folder")
-    return root
+    try:
+        return checked_root(path)
+    except NotADirectoryError as error:
+        raise _Refused(error) from error
 
 
 def _existing(path: str, what: str) -> Path:
@@ -56,7 +58,7 @@ def _existing(path: str, what: str) -> Path:
 def _loaded(path: Path) -> dict:
     try:
         return load_scan_file(path)
-    except (json.JSONDecodeError, KeyError) as error:
+    except (KeyError, JSONDecodeError) as error:
         raise _Refused(f"{path} can't be used: {error}") from error
 
 
@@ -71,8 +73,8 @@ def _deliver(data: dict, out: str) -> int:
     return OK
 
 
-def run_scan(args: argparse.Namespace) -> int:
-    result = scan(root=_root(args.root), extensions=parse_extensions(args.extensions), max_file_size=args.max_file_size, follow_symlinks=args.follow_symlinks, progress=args.progress)
+def run_scan(args: Namespace) -> int:
+    result = scan(spark=None, root=_root(args.root), extensions=parse_extensions(args.extensions), max_file_size=args.max_file_size, follow_symlinks=args.follow_symlinks, progress=args.progress)
     data = result.to_json()
     if args.sign:
         key = _existing(args.sign_key, "signing key")
@@ -83,19 +85,19 @@ def run_scan(args: argparse.Namespace) -> int:
     return _deliver(data, args.out)
 
 
-def run_report(args: argparse.Namespace) -> int:
+def run_report(args: Namespace) -> int:
     return _deliver(generate_report(_loaded(_existing(args.input, "scan file"))).to_json(), args.out)
 
 
-def run_diff(args: argparse.Namespace) -> int:
+def run_diff(args: Namespace) -> int:
     old, new = _existing(args.old, "old scan file"), _existing(args.new, "new scan file")
     return _deliver(diff_scans(_loaded(old), _loaded(new)).to_json(), args.out)
 
 
-def run_verify(args: argparse.Namespace) -> int:
+def run_verify(args: Namespace) -> int:
     path, key = _existing(args.input, "scan file"), _existing(args.public_key, "public key")
     try:
-        data = json.loads(path.read_text(encoding="utf-8"))
+        data = loads(path.read_bytes().decode())
         signature = data.pop("signature", None)
         if signature is None:
             raise _Refused(f"{path} has no signature")
@@ -108,56 +110,65 @@ def run_verify(args: argparse.Namespace) -> int:
     return OK if fits else CLI_ERROR
 
 
-def build_parser() -> argparse.ArgumentParser:
-    parser = argparse.ArgumentParser(prog="sievelake", description="Duplicates and near duplicates in large datasets.")
-    parser.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+#: For each command: what it does, and its options as (name, help, settings).
+COMMANDS = {
+    "scan": (run_scan, "Find duplicate files in a folder.", [
+        ("root", "the folder", {"required": True}),
+        ("out", "where to write the result, if not to stdout", {"default": ""}),
+        ("extensions", "comma-separated extensions to scan, if not all", {"default": ""}),
+        ("max-file-size", "bytes; larger files are skipped", {"type": int}),
+        ("follow-symlinks", "scan linked files, as is done anyway", {"action": "store_true", "default": True}),
+        ("skip-symlinks", "skip linked files", {"action": "store_false", "dest": "follow_symlinks"}),
+        ("progress", "show a progress bar", {"action": "store_true"}),
+        ("sign", "sign the result", {"action": "store_true"}),
+        ("sign-key", "the Ed25519 private key, as PEM, to sign with", {"default": ""}),
+    ]),
+    "report": (run_report, "Summarise a scan file.", [
+        ("input", "the scan file", {"required": True}),
+        ("out", "where to write the report, if not to stdout", {"default": ""}),
+    ]),
+    "diff": (run_diff, "Compare two scan files.", [
+        ("old", "the earlier scan file", {"required": True}),
+        ("new", "the later scan file", {"required": True}),
+        ("out", "where to write the difference, if not to stdout", {"default": ""}),
+    ]),
+    "verify": (run_verify, "Check the signature of a scan file.", [
+        ("input", "the signed scan file", {"required": True}),
+        ("public-key", "the Ed25519 public key, as PEM", {"required": True}),
+    ]),
+}
+
+
+def build_parser() -> ArgumentParser:
+    parser = ArgumentParser(prog="sievelake", description="Duplicates and near duplicates in large datasets.")
+    parser.add_argument("--version", version="sievelake " + __version__, action="version")
     parser.add_argument("-v", "--verbose", action="store_true", help="log all there is")
     parser.add_argument("--log-format", choices=("text", "json"), default="text", help="lines of text, or of JSON")
     commands = parser.add_subparsers(dest="cmd", required=True)
-
-    def command(name, run, description):
-        sub = commands.add_parser(name, help=description, description=description)
+    for command, (run, does, options) in COMMANDS.items():
+        sub = commands.add_parser(command, help=does, description=does)
         sub.set_defaults(run=run)
-        return sub.add_argument
-
-    add = command("scan", run_scan, "Find duplicate files in a folder.")
-    add("--root", required=True, help="the folder")
-    add("--out", default="", help="where to write the result, if not to stdout")
-    add("--extensions", default="", help="comma-separated extensions to scan, if not all")
-    add("--max-file-size", type=int, default=None, help="bytes; larger files are skipped")
-    add("--follow-symlinks", action="store_true", default=True, dest="follow_symlinks", help="scan linked files, as is done anyway")
-    add("--skip-symlinks", action="store_false", dest="follow_symlinks", help="skip linked files")
-    add("--progress", action="store_true", help="show a progress bar")
-    add("--sign", action="store_true", help="sign the result")
-    add("--sign-key", default="", help="the Ed25519 private key, as PEM, to sign with")
-    add = command("report", run_report, "Summarise a scan file.")
-    add("--input", required=True, help="the scan file")
-    add("--out", default="", help="where to write the report, if not to stdout")
-    add = command("diff", run_diff, "Compare two scan files.")
-    add("--old", required=True, help="the earlier scan file")
-    add("--new", required=True, help="the later scan file")
-    add("--out", default="", help="where to write the difference, if not to stdout")
-    add = command("verify", run_verify, "Check the signature of a scan file.")
-    add("--input", required=True, help="the signed scan file")
-    add("--public-key", required=True, help="the Ed25519 public key, as PEM")
+        for option, says, settings in options:
+            sub.add_argument("--" + option, help=says, **settings)
     return parser
 
 
-def command_parsers() -> dict[str, argparse.ArgumentParser]:
-    subs = next(a for a in build_parser()._actions if isinstance(a, argparse._SubParsersAction))
+def command_parsers() -> dict[str, ArgumentParser]:
+    subs = next(a for a in build_parser()._actions if isinstance(a, _SubParsersAction))
     return dict(subs.choices)
 
 
 def _set_up_logging(as_json: bool, verbose: bool) -> None:
-    handler = logging.StreamHandler(sys.stderr)
-    handler.setFormatter(JsonLines() if as_json else logging.Formatter("%(asctime)s | %(levelname)-8s | %(message)s", "%Y-%m-%d %H:%M:%S"))
-    log.handlers = [handler]
+    lines = JsonLines() if as_json else logging.Formatter("{asctime} {levelname}: {message}", style="{")
+    to_stderr = logging.StreamHandler()
+    to_stderr.setFormatter(lines)
+    log.handlers = [to_stderr]
     log.propagate = False
     log.setLevel(logging.DEBUG if verbose else logging.WARNING)
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = build_parser().parse_args(argv)
+def main(arguments=None) -> int:
+    args = build_parser().parse_args(arguments)
     _set_up_logging(args.log_format == "json", args.verbose)
     if getattr(args, "sign", False) and not args.sign_key:
         log.error("--sign needs --sign-key")

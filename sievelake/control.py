@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import argparse
+from argparse import ArgumentParser
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
-from enum import Enum
+from enum import StrEnum, auto
 from typing import Any
 
 from sievelake.version import __version__
 
 
-class PermissionScope(str, Enum):
-    READ_ONLY = "read_only"
-    WORKSPACE_WRITE = "workspace_write"
-    FULL_ACCESS = "full_access"
+Settings = Mapping[str, Any] | None
 
 
-class ApprovalPolicy(str, Enum):
-    AUTO = "auto"
-    REQUIRE_APPROVAL = "require_approval"
-    DENY = "deny"
+class PermissionScope(StrEnum):
+    """From the smallest to the largest."""
+
+    READ_ONLY = auto()
+    WORKSPACE_WRITE = auto()
+    FULL_ACCESS = auto()
+
+
+class ApprovalPolicy(StrEnum):
+    AUTO = auto()
+    REQUIRE_APPROVAL = auto()
+    DENY = auto()
 
 
 @dataclass
@@ -28,17 +34,17 @@ class AuthorityBoundary:
     approval: ApprovalPolicy
     sandbox: dict[str, Any] | None = None
 
-    def is_denied(self) -> bool:
-        return self.approval is ApprovalPolicy.DENY
-
-    def needs_approval(self) -> bool:
-        return self.approval is ApprovalPolicy.REQUIRE_APPROVAL
-
     def scope_allows(self, required: PermissionScope) -> bool:
-        """Scopes are ordered as they are declared; a larger one includes the smaller."""
+        """A larger scope includes the smaller."""
         ladder = list(PermissionScope)
         return ladder.index(required) <= ladder.index(self.scope)
 
+    def needs_approval(self) -> bool:
+        return ApprovalPolicy.REQUIRE_APPROVAL is self.approval
+
+    def is_denied(self) -> bool:
+        return ApprovalPolicy.DENY is self.approval
+
 
 @dataclass
 class ToolSpec:
@@ -72,13 +78,14 @@ class ToolkitConfig:
     hash_algorithm: str = "sha256"
     follow_symlinks: bool = True
     max_file_size_mb: int = 0
-    extra: dict[str, Any] = field(default_factory=dict)
+    #: what has none of the names above
+    extra: dict = field(default_factory=dict)
 
 
-CONFIG_LEVELS = {"platform_default": 0, "toolkit_config": 1, "cli_override": 2}
+CONFIG_LEVELS = {tier: level for level, tier in enumerate(("platform_default", "toolkit_config", "cli_override"))}
 
 
-def build_config_hierarchy(toolkit_config: dict[str, Any] | None = None, cli_overrides: dict[str, Any] | None = None) -> ToolkitConfig:
+def build_config_hierarchy(toolkit_config: Settings = None, cli_overrides: Settings = None) -> ToolkitConfig:
     """Defaults, below the toolkit's configuration, below the command line's; unknown names go to ``extra``."""
     config, known = ToolkitConfig(), {f.name for f in fields(ToolkitConfig)}
     for tier in (toolkit_config, cli_overrides):
@@ -92,7 +99,7 @@ def build_config_hierarchy(toolkit_config: dict[str, Any] | None = None, cli_ove
     return config
 
 
-def _schema(parser: argparse.ArgumentParser) -> dict[str, Any]:
+def _schema(parser: ArgumentParser) -> dict[str, Any]:
     kinds = {int: "integer", bool: "boolean"}
     options = [a for a in parser._actions if a.dest != "help"]
     typed = {a.dest: {"type": "boolean" if a.nargs == 0 else kinds.get(a.type, "string"), "description": a.help or ""} for a in options}

@@ -16,15 +16,16 @@ BLANK_SLOT = (1 << 32) - 1
 SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-def ngrams(text: str, size: int = 3) -> list[str]:
+def ngrams(text: str, size=3) -> list[str]:
     """Overlapping n-grams of the lowered, stripped text; a shorter text is one token, a blank one none."""
-    text = text.lower().strip()
+    text = str.strip(text.lower())
     return [text[i : i + size] for i in range(max(1, len(text) - size + 1))] if text else []
 
 
 def token_hash(token: str) -> int:
     """First four bytes of the token's MD5, little endian."""
-    return int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4], "little")
+    digest = hashlib.md5(token.encode("utf-8", "surrogatepass"), usedforsecurity=False)
+    return int.from_bytes(digest.digest()[:4], "little")
 
 
 def hash_family(num_perm: int, seed: int = 42) -> tuple[tuple[int, ...], tuple[int, ...]]:

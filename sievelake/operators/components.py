@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.storage import discard, written
 
 #: Up to so many edges, one task joins them (about 200 bytes an edge); beyond it, stars are contracted by shuffles.
-ONE_TASK_EDGES = 1_000_000
+ONE_TASK_EDGES = 300_000
 MAX_ROUNDS = 100
 
 

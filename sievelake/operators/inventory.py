@@ -23,9 +23,9 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("path"), F.lower("lang").alias("ext"), F.octet_length("text").cast("bigint").alias("size_bytes"), F.lit(False).alias("is_symlink"), content_sha256(F.col("text")).alias("sha256"))
 
 
-def skip_status(*, extensions: Iterable[str] | None = None, max_file_size: int | None = None, follow_symlinks: bool = True) -> Column:
+def skip_status(*, follow_symlinks: bool = True, max_file_size: int | None = None, extensions: Iterable[str] | None = None) -> Column:
     """Why a file is skipped.  A link is tested first, then the extension, then the size."""
-    if max_file_size is not None and max_file_size < 0:
+    if max_file_size is not None and 0 > max_file_size:
         raise ValueError(f"the size limit is {max_file_size}; it can't be negative")
     status = F.lit(None).cast("string")
     if not follow_symlinks:

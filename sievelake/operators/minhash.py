@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,10 +24,7 @@ _GRAMS_AT_ONCE = 1 << 15
 @dataclass(frozen=True)
 class MinHashSignature:
     values: tuple[int, ...]
-
-    @property
-    def num_perm(self) -> int:
-        return len(self.values)
+    num_perm = property(lambda self: len(self.values), doc="How many slots there are.")
 
 
 def _positive(**numbers: int) -> None:
@@ -180,11 +177,13 @@ def near_duplicate_groups(texts: DataFrame, key: str, text: str, *, threshold: f
 
 @dataclass
 class TextDedupResult:
-    near_duplicate_groups: list[list[str]] = field(default_factory=list)
+    #: "a|b" to the rounded share of equal slots
     similarity_scores: dict[str, float] = field(default_factory=dict)
+    #: the largest first
+    near_duplicate_groups: list[list] = field(default_factory=list)
 
 
-def find_near_duplicates(file_texts: dict[str, str], *, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, ngram_size: int = NGRAM_SIZE, spark: SparkSession | None = None) -> TextDedupResult:
+def find_near_duplicates(file_texts: Mapping[str, str], *, spark: SparkSession | None = None, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, ngram_size: int = NGRAM_SIZE) -> TextDedupResult:
     """Groups and scores for a corpus held in a dictionary; a table goes to the two functions above."""
     _checked(num_perm, ngram_size, threshold)
     if not file_texts:
@@ -198,5 +197,5 @@ def find_near_duplicates(file_texts: dict[str, str], *, threshold: float = THRES
         members.setdefault(row.group_min, []).append(row.member)
     place = {k: i for i, k in enumerate(file_texts)}
     pairs.sort(key=lambda r: (place[r.a], place[r.b]))
-    groups = sorted((sorted(g) for g in members.values()), key=lambda g: (-len(g), g[0]))
-    return TextDedupResult(groups, {f"{r.a}|{r.b}": r.similarity for r in pairs})
+    groups = sorted(map(sorted, members.values()), key=lambda names: (-len(names), names))
+    return TextDedupResult({f"{r.a}|{r.b}": r.similarity for r in pairs}, groups)

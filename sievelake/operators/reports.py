@@ -38,13 +38,13 @@ def diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ReportSummary:
+    avg_file_size: float
+    duplicate_file_count: int
+    duplicate_group_count: int
     file_count: int
+    largest_group_size: int
     total_bytes: int
-    duplicate_group_count: int
-    duplicate_file_count: int
     unique_file_count: int
-    avg_file_size: float
-    largest_group_size: int
 
     def to_json(self) -> dict:
         return asdict(self) | {"avg_file_size": round(self.avg_file_size, 2)}
@@ -52,11 +52,11 @@ class ReportSummary:
 
 @dataclass(frozen=True)
 class DiffResult:
-    added_files: int
+    unchanged_duplicate_groups: list[list[str]]
     removed_files: int
-    added_duplicate_groups: list[list[str]]
     removed_duplicate_groups: list[list[str]]
-    unchanged_duplicate_groups: list[list[str]]
+    added_files: int
+    added_duplicate_groups: list[list[str]]
 
     def to_json(self) -> dict:
         return asdict(self)
@@ -65,12 +65,15 @@ class DiffResult:
 def generate_report(scan_data: dict) -> ReportSummary:
     """The report of a scan file that was read into a dictionary; a missing key is a KeyError."""
     files, total, sizes = scan_data["file_count"], scan_data["total_bytes"], [len(g) for g in scan_data["duplicates"]]
-    return ReportSummary(files, total, len(sizes), sum(sizes), files - sum(sizes), total / files if files > 0 else 0.0, max(sizes, default=0))
+    return ReportSummary(
+        avg_file_size=total / files if files > 0 else 0.0, duplicate_file_count=sum(sizes), duplicate_group_count=len(sizes),
+        file_count=files, largest_group_size=max(sizes, default=0), total_bytes=total, unique_file_count=files - sum(sizes),
+    )
 
 
 def diff_scans(old_data: dict, new_data: dict) -> DiffResult:
     """The difference of two scan files that were read into dictionaries."""
     old, new = ({"|".join(sorted(g)): g for g in scan["duplicates"]} for scan in (old_data, new_data))
     pick = lambda groups, keys: [groups[k] for k in sorted(keys)]
-    gained = new_data["file_count"] - old_data["file_count"]
-    return DiffResult(gained, max(0, -gained), pick(new, new.keys() - old.keys()), pick(old, old.keys() - new.keys()), pick(old, old.keys() & new.keys()))
+    before, after = (scan["file_count"] for scan in (old_data, new_data))
+    return DiffResult(pick(old, old.keys() & new.keys()), max(0, before - after), pick(old, old.keys() - new.keys()), after - before, pick(new, new.keys() - old.keys()))

@@ -19,34 +19,30 @@ from sievelake.version import __version__
 class ScanMetadata:
     """Where a scan comes from; what is None stays out of the JSON."""
 
-    tool_version: str
-    scanned_root: str
     timestamp: str
-    extensions_filter: tuple[str, ...] | None = None
+    scanned_root: str
+    tool_version: str
     max_file_size: int | None = None
+    extensions_filter: tuple[str, ...] | None = None
 
     def to_json(self) -> dict:
-        out = {"tool_version": self.tool_version, "scanned_root": self.scanned_root, "timestamp": self.timestamp}
-        if self.extensions_filter is not None:
-            out["extensions_filter"] = list(self.extensions_filter)
-        if self.max_file_size is not None:
-            out["max_file_size"] = self.max_file_size
-        return out
+        known = {name: value for name, value in vars(self).items() if value is not None}
+        return {name: list(value) if isinstance(value, tuple) else value for name, value in known.items()}
 
 
 @dataclass(frozen=True)
 class ScanResult:
     file_count: int
     total_bytes: int
-    duplicates: list[list[str]] = field(default_factory=list)
-    skipped_count: int = 0
-    skipped_oversized: int = 0
-    skipped_symlinks: int = 0
     metadata: ScanMetadata | None = None
+    skipped_symlinks: int = 0
+    skipped_oversized: int = 0
+    skipped_count: int = 0
+    duplicates: list[list[str]] = field(default_factory=list)
 
     def to_json(self) -> dict:
         names = ("file_count", "total_bytes", "skipped_count", "skipped_oversized", "skipped_symlinks")
-        out = {n: getattr(self, n) for n in names} | {"duplicates": [list(g) for g in self.duplicates]}
+        out = {n: getattr(self, n) for n in names} | {"duplicates": list(map(list, self.duplicates))}
         return out if self.metadata is None else out | {"metadata": self.metadata.to_json()}
 
 
@@ -59,18 +55,16 @@ def progress_bar(done: int, total: int, width: int = 30, stream=None) -> None:
 
 
 def checked_root(root: str | Path) -> Path:
-    root = Path(root).resolve()
-    if not root.exists():
-        raise FileNotFoundError(f"there is no folder {root} to scan")
-    if not root.is_dir():
-        raise NotADirectoryError(f"{root} is no folder")
-    return root
+    folder = Path(root).resolve()
+    if folder.is_dir():
+        return folder
+    raise NotADirectoryError(f"{folder} is no folder") if folder.exists() else FileNotFoundError(f"there is no folder {folder} to scan")
 
 
-def scan(*, root: str | Path, extensions: set[str] | None = None, max_file_size: int | None = None, follow_symlinks: bool = True, progress: bool = False, spark: SparkSession | None = None) -> ScanResult:
+def scan(*, spark: SparkSession | None = None, progress: bool = False, follow_symlinks: bool = True, max_file_size: int | None = None, extensions: set[str] | None = None, root: str | Path) -> ScanResult:
     """List and hash the files below ``root``; count skips; group equal contents."""
     root = checked_root(root)
-    if max_file_size is not None and max_file_size < 0:
+    if max_file_size is not None and 0 > max_file_size:
         raise ValueError(f"the size limit is {max_file_size}; it can't be negative")
     spark = spark or SparkSession.builder.getOrCreate()
     tree = read_tree(spark, root, extensions=extensions, max_file_size=max_file_size, follow_symlinks=follow_symlinks)
@@ -81,5 +75,5 @@ def scan(*, root: str | Path, extensions: set[str] | None = None, max_file_size:
         seen = sum(counters[c] for c in ("file_count", "skipped_count", "skipped_oversized", "skipped_symlinks"))
         progress_bar(seen, seen)
     listed = tuple(sorted(extensions)) if extensions else None
-    metadata = ScanMetadata(__version__, str(root), datetime.now(timezone.utc).isoformat(), listed, max_file_size)
-    return ScanResult(counters.file_count, counters.total_bytes, [list(g.members) for g in groups], counters.skipped_count, counters.skipped_oversized, counters.skipped_symlinks, metadata)
+    metadata = ScanMetadata(datetime.now(timezone.utc).isoformat(), str(root), __version__, max_file_size, listed)
+    return ScanResult(**counters.asDict(), duplicates=[list(g.members) for g in groups], metadata=metadata)

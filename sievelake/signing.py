@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 try:
     from cryptography.exceptions import InvalidSignature
-    from cryptography.hazmat.primitives import serialization
     from cryptography.hazmat.primitives.asymmetric import ed25519
+    from cryptography.hazmat.primitives.serialization import Encoding, NoEncryption, PrivateFormat, PublicFormat, load_pem_private_key, load_pem_public_key
 except ImportError:
     ed25519 = None
 
@@ -27,7 +27,7 @@ class KeyPair:
 
 def canonical_json_bytes(data: dict) -> bytes:
     """Sorted keys, no spaces, UTF-8 without escapes."""
-    return json.dumps(data, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    return json.dumps(data, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()
 
 
 def _pem(kind: str, der: bytes) -> str:
@@ -66,8 +66,8 @@ def _jvm_key(pem: str, private: bool):
 def generate_ed25519_keypair() -> KeyPair:
     if ed25519 is not None:
         key = ed25519.Ed25519PrivateKey.generate()
-        private = key.private_bytes(serialization.Encoding.PEM, serialization.PrivateFormat.PKCS8, serialization.NoEncryption())
-        public = key.public_key().public_bytes(serialization.Encoding.PEM, serialization.PublicFormat.SubjectPublicKeyInfo)
+        private = key.private_bytes(Encoding.PEM, PrivateFormat.PKCS8, NoEncryption())
+        public = key.public_key().public_bytes(Encoding.PEM, PublicFormat.SubjectPublicKeyInfo)
         return KeyPair(private.decode(), public.decode())
     gateway, security = _jvm()
     pair = security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
@@ -78,10 +78,10 @@ def generate_ed25519_keypair() -> KeyPair:
     return KeyPair(_pem("PRIVATE KEY", bytes(private)), _pem("PUBLIC KEY", bytes(public)))
 
 
-def sign_payload(*, payload: bytes, private_key_pem: str) -> str:
+def sign_payload(*, private_key_pem: str, payload: bytes) -> str:
     """The signature in base 64; a key of another kind is a ValueError."""
     if ed25519 is not None:
-        key = serialization.load_pem_private_key(private_key_pem.encode(), password=None)
+        key = load_pem_private_key(private_key_pem.encode(), password=None)
         if not isinstance(key, ed25519.Ed25519PrivateKey):
             raise ValueError("this is no Ed25519 key")
         return base64.b64encode(key.sign(payload)).decode()
@@ -91,10 +91,10 @@ def sign_payload(*, payload: bytes, private_key_pem: str) -> str:
     return base64.b64encode(bytes(signer.sign())).decode()
 
 
-def verify_payload(*, payload: bytes, signature_b64: str, public_key_pem: str) -> bool:
+def verify_payload(*, public_key_pem: str, signature_b64: str, payload: bytes) -> bool:
     """Whether the signature fits; one that can't be read doesn't, a key of another kind is a ValueError."""
     if ed25519 is not None:
-        key = serialization.load_pem_public_key(public_key_pem.encode())
+        key = load_pem_public_key(public_key_pem.encode())
         if not isinstance(key, ed25519.Ed25519PublicKey):
             raise ValueError("this is no Ed25519 key")
         try:

@@ -81,7 +81,7 @@ class FileTree(DataSource):
         return FileTreeReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_tree(spark: SparkSession, root: str | Path, *, extensions: set[str] | None = None, max_file_size: int | None = None, follow_symlinks: bool = True, hashed: bool = True, files_in_partition: int = FILES_IN_PARTITION):
+def read_tree(spark: SparkSession, root: str | Path, *, files_in_partition: int = FILES_IN_PARTITION, hashed: bool = True, follow_symlinks: bool = True, max_file_size: int | None = None, extensions: set[str] | None = None):
     """The files below ``root`` as a table, with why each is skipped."""
     spark.dataSource.register(FileTree)
     reader = spark.read.format("file_tree").option("path", str(root)).option("followSymlinks", str(follow_symlinks).lower()).option("hash", str(hashed).lower()).option("filesInPartition", files_in_partition)

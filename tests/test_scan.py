@@ -69,7 +69,7 @@ def test_roots_and_limits(spark, tmp_path):
         scan(root=tmp_path, max_file_size=-1, spark=spark)
     (tmp_path / "f").unlink()
     assert scan(root=tmp_path, spark=spark).to_json()["duplicates"] == []
-    assert ScanMetadata("1", "/", "t", ("a",), 0).to_json() == {"tool_version": "1", "scanned_root": "/", "timestamp": "t", "extensions_filter": ["a"], "max_file_size": 0}
+    assert ScanMetadata("t", "/", "1", 0, ("a",)).to_json() == {"tool_version": "1", "scanned_root": "/", "timestamp": "t", "extensions_filter": ["a"], "max_file_size": 0}
 
 
 def test_progress_bar():
