@@ -33,21 +33,19 @@ from .kernels import buffers, slices, span_hashes, words
 
 MAX_WILD = 20
 
-_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
-files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
-merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
-do so, subject to the following conditions: The above copyright notice and this permission notice
-<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
-<<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
-<<var;name="holder";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,20}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
-WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
-IN THE SOFTWARE.<<endOptional>>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will
+<<var;name="holder";original="the authors";match=".{1,12}">> be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions: <<beginOptional>>1. <<endOptional>>The origin of this software must not
+be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+<<beginOptional>>(see the following) <<endOptional>>in the product documentation would be appreciated but is not required.
+<<beginOptional>>2. <<endOptional>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. <<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution."""
 
 TEMPLATES = {
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use this file except in compliance with the License<<endOptional>>',
     "MIT-notice": '<<var;name="verb";original="Released";match="released|licensed|distributed|available">> under the <<beginOptional>>terms of the <<endOptional>>MIT License',
-    "MIT": _MIT_BODY,
+    "Zlib": _ZLIB,
     "ISC": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
     "GPL-3.0-notice": '<<beginOptional>>This <<var;name="work";original="work";match="work|program|software|library|file">> is <<endOptional>>licensed under the GNU General Public License, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
     "GPL-3.0-header": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by <<var;name="publisher";original="the Free Software Foundation";match=".{1,8}">>, either version 3 of the License, or (at your option) any later version.',
