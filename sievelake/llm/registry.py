@@ -78,4 +78,28 @@ SQL: dict[str, str] = {
         )
         SELECT vec_id, r::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE r <= 10
     """,
+    "op5_line_dedup": """
+        WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+        lines AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM cut),
+        firsts AS (SELECT t, length(t) AS n, min((doc_id, place)) AS born FROM lines WHERE t <> '' GROUP BY t),
+        halves AS (SELECT t, n, born, unnest([left(t, n // 2) || chr(10), chr(10) || right(t, n // 2), left(t, (n - 1) // 2) || chr(10), chr(10) || right(t, (n - 1) // 2)]) AS half
+                   FROM firsts WHERE n >= 24),
+        pairs AS (SELECT DISTINCT a.t AS x, b.t AS y FROM halves a JOIN halves b USING (half) WHERE b.born < a.born AND abs(a.n - b.n) <= 1),
+        gone AS (SELECT DISTINCT x FROM (SELECT x, y, unnest(range(0, length(x) + 1)) AS i FROM pairs)
+                 WHERE left(x, i) = left(y, i) AND (substr(x, i + 2) = substr(y, i + 2) OR substr(x, i + 1) = substr(y, i + 2) OR substr(x, i + 2) = substr(y, i + 1))),
+        marked AS (SELECT l.*, l.t = '' OR (f.born = (l.doc_id, l.place) AND g.x IS NULL) AS kept FROM lines l LEFT JOIN firsts f ON l.t = f.t LEFT JOIN gone g ON l.t = g.x),
+        joined AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (kept), '') AS new, bool_or(t <> '' AND kept) AS any_kept, bool_or(t <> '') AS solid
+                   FROM marked GROUP BY doc_id)
+        SELECT doc_id, new AS text, lang, source, CASE WHEN new = text THEN n_chars ELSE length(new) END AS n_chars
+        FROM documents JOIN joined USING (doc_id) WHERE any_kept OR NOT solid
+    """,
+    "op10_suffix_array_dedup": """
+        WITH split AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w FROM starts),
+        shared AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+        hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM windows WHERE w IN (SELECT w FROM shared)),
+        islands AS (SELECT doc_id, i, count(*) FILTER (step IS NULL OR step > 50) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM hits)
+        SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + 50 AS words FROM islands GROUP BY doc_id, island
+    """,
 }
