@@ -3,7 +3,7 @@
 A template is license wording with optional regions, ``<<beginOptional>> ... <<endOptional>>`` (they
 may nest), and replaceable ones, ``<<var;name="...";original="...";match="...">>``, as in the SPDX
 matching guidelines.  ``match`` is an alternation of wordings (``work|software library``) or ``.+``,
-``.*`` or ``.{m,n}``, which stand for so many words (at most MAX_WILD if it gives no bound).  All
+``.*`` or ``.{m,n}``, which stand for so many words; without a bound, for any number of them.  All
 templates are compiled into one automaton over words, made deterministic as it is used.  Case, white
 space and punctuation between words don't count; every mandatory word must be there, in its place.
 
@@ -14,6 +14,8 @@ where the automaton is run.
 
 Defined results
 * null, empty and wordless texts match nothing; a text without a match has no row;
+* a region without a bound reaches as far as it can: copies of one license that has such regions count
+  as one match where a region can span from one to the other;
 * null doc_id is carried through; each of repeated rows has its own rows in the result;
 * an empty table gives no rows; other columns are not read.
 """
@@ -31,10 +33,39 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .kernels import buffers, slices, span_hashes, words
 
-MAX_WILD = 20
+UNBOUNDED = (1 << 31) - 1
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of
+<<var;name="what";original="this software and associated documentation files (the Software)";match=".+">>, to deal in the
+<<var;name="noun";original="Software";match="software|work|materials">> without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so, subject to the following conditions: The above copyright notice and this permission notice
+<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+<<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+<<var;name="holder";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".+">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE.<<endOptional>>"""
+
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """ <<beginOptional>>3. <<endOptional>>Neither the name of <<var;name="organization";original="the copyright holder";match=".+">> nor the names of
+<<beginOptional>>its <<endOptional>>contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY <<var;name="holder";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+_GNU = """This <<var;name="work";original="program";match="program|library|software|file">> is free software you can
+redistribute it and/or modify it under the terms of the GNU %s as published by <<var;name="publisher";original="the Free Software Foundation";match=".+">>,
+<<beginOptional>>either <<endOptional>>version %s of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>"""
+_CC = """licensed under <<beginOptional>><<var;name="article";original="a";match="a|the">> <<endOptional>>Creative Commons %s %s<<beginOptional>> International<<endOptional>><<beginOptional>> Public<<endOptional>><<beginOptional>> License<<endOptional>>"""
+#: Long texts are known by the words that they begin and end with.
+_LONG = '%s<<var;name="body";original="body";match=".+">> %s'
+_CC_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will
-<<var;name="holder";original="the authors";match=".{1,12}">> be held liable for any damages arising from the use of this software.
+<<var;name="holder";original="the authors";match=".+">> be held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
 redistribute it freely, subject to the following restrictions: <<beginOptional>>1. <<endOptional>>The origin of this software must not
 be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
@@ -45,13 +76,31 @@ original software. <<beginOptional>>3. <<endOptional>>This notice may not be rem
 TEMPLATES = {
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use this file except in compliance with the License<<endOptional>>',
     "MIT-notice": '<<var;name="verb";original="Released";match="released|licensed|distributed|available">> under the <<beginOptional>>terms of the <<endOptional>>MIT License',
+    "MIT": _MIT,
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_3 + _BSD_END,
     "Zlib": _ZLIB,
+    "Apache-2.0": _LONG % ("Apache License Version 2.0, January 2004 <<beginOptional>>http://www.apache.org/licenses/ <<endOptional>>TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION ", "END OF TERMS AND CONDITIONS"),
+    "GPL-2.0": _LONG % ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991 ", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0": _LONG % ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 ", "END OF TERMS AND CONDITIONS"),
+    "AGPL-3.0": _LONG % ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 ", "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1": _LONG % ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 ", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0": _LONG % ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 ", "is permanent authorization for you to choose that version for the Library"),
+    "GPL-2.0-header": _GNU % ("General Public License", "2"),
+    "LGPL-2.1-header": _GNU % ("Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _GNU % ("Lesser General Public License", "3"),
+    "AGPL-3.0-header": _GNU % ("Affero General Public License", "3"),
+    "MPL-2.0": _LONG % ("Mozilla Public License Version 2.0 1. Definitions ", "Incompatible With Secondary Licenses, as defined by the Mozilla Public License, v. 2.0"),
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "CC0-1.0-notice": '<<var;name="article";original="Creative Commons";match="creative commons|cc0">> <<beginOptional>>CC0 <<endOptional>>1.0 Universal',
     "ISC": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
     "GPL-3.0-notice": '<<beginOptional>>This <<var;name="work";original="work";match="work|program|software|library|file">> is <<endOptional>>licensed under the GNU General Public License, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
-    "GPL-3.0-header": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by <<var;name="publisher";original="the Free Software Foundation";match=".{1,8}">>, either version 3 of the License, or (at your option) any later version.',
+    "GPL-3.0-header": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by <<var;name="publisher";original="the Free Software Foundation";match=".+">>, either version 3 of the License, or (at your option) any later version.',
     "CC-BY-NC-4.0-notice": '<<beginOptional>>This <<var;name="work";original="work";match="work|text|document">> is <<endOptional>>licensed under <<beginOptional>>a Creative Commons Attribution-NonCommercial 4.0 International License (<<endOptional>>CC BY-NC 4.0',
     "all-rights-reserved": '<<beginOptional>>Copyright <<var;name="holder";original="holder";match=".{1,12}">> <<endOptional>>All rights reserved',
 }
+TEMPLATES |= {f"CC-{kind}-{v}-license": _CC % (name, v) for kind, name in _CC_KINDS.items() for v in ("3.0", "4.0")}
+TEMPLATES |= {f"CC-{kind}-{v}-notice": f"licensed under CC {kind} {v}" for kind in _CC_KINDS for v in ("3.0", "4.0") if (kind, v) != ("BY-NC", "4.0")}
 
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
@@ -65,7 +114,7 @@ def split_words(text: str) -> list[str]:
 
 
 def parse(template: str) -> list:
-    """Nested list of words, ("optional", [...]), ("any of", [[...], ...]) and ("wild", least, most)."""
+    """Nested list of words, ("optional", [...]), ("any of", [[...], ...]) and ("wild", least, most); most is UNBOUNDED if there is no bound."""
     stack: list[list] = [[]]
     at = 0
     for mark in _MARK.finditer(template):
@@ -81,7 +130,7 @@ def parse(template: str) -> list:
         else:
             match = dict(_FIELD.findall(mark[1])).get("match", ".+")
             if wild := _WILD.fullmatch(match):
-                least, most = (int(wild[2]), int(wild[3])) if wild[2] else (wild[1] == "+", MAX_WILD)
+                least, most = (int(wild[2]), int(wild[3])) if wild[2] else (wild[1] == "+", UNBOUNDED)
                 stack[-1].append(("wild", int(least), most))
             elif re.search(r"[][.*+?{}()\\^$]", match):
                 raise ValueError(f"unsupported match: {match}")
@@ -140,11 +189,13 @@ class Automaton:
             else:
                 _, least, most = part
                 after = self._new()
-                for k in range(most):
+                for k in range(least if most == UNBOUNDED else most):
                     if k >= least:
                         self.empty[state].append(after)
                     state = self._word(state, -1)
                 self.empty[state].append(after)
+                if most == UNBOUNDED:
+                    self.edges[after].append((-1, after))
                 state = after
         return state
 

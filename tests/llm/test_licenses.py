@@ -73,3 +73,18 @@ def test_defined_cases(spark):
 def test_bad_templates(bad):
     with pytest.raises(ValueError):
         Automaton({"t": bad})
+
+
+def test_full_texts_and_long_holders(spark):
+    holder = " ".join(f"Holder{i}" for i in range(45))
+    mit = re.sub(r"<<(begin|end)Optional>>", " ", re.sub(r'<<var;name="holder"[^>]*>>', holder, TEMPLATES.get("MIT", "")))
+    texts = {
+        "MIT": re.sub(r'<<var;[^>]*original="(.*?)";match[^>]*>>', r"\1", mit),
+        "Zlib": re.sub(r"<<(begin|end)Optional>>", " ", re.sub(r'<<var;name="holder"[^>]*>>', holder, TEMPLATES["Zlib"])),
+        "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 " + "terms " * 2500 + "END OF TERMS AND CONDITIONS",
+        "LGPL-2.1-header": f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by {holder}; either version 2.1 of the License, or later",
+        "CC-BY-SA-4.0-license": "This page is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    rows = [(i, f"Intro. {t} More.", "en", "s", 1) for i, t in enumerate(texts.values())]
+    got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {(i, n) for i, n in enumerate(texts)} <= got
