@@ -1,7 +1,6 @@
 """Registered queries over the reference's operators, with their SQL.
 
-Each runs over its whole table.  Signatures have 32 slots here, so that the SQL, which multiplies
-128-bit integers for each slot, ends in good time; the flagship query has 128.
+Each runs over its whole table, with the slots and the threshold of the reference.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from sievelake.functions.hashing import content_sha256
 from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, hash_family, ngram_rows, token_hash_column
 from sievelake.operators import inventory, minhash, reports
 
-SLOTS, SIMILAR = 32, 0.75
+SLOTS, SIMILAR = minhash.NUM_PERM, minhash.THRESHOLD
 EARLIER = {"extensions": ("de", "en"), "max_file_size": 4000}
 LATER = {"max_file_size": 3000}
 

@@ -104,3 +104,14 @@ def test_small_corpora_and_bad_arguments(spark):
     for bad in ({"threshold": 1.5}, {"threshold": -0.1}, {"num_perm": 0}, {"ngram_size": 0}):
         with pytest.raises(ValueError):
             find_near_duplicates({"a": "b"}, **bad)
+
+
+def test_registered_queries_have_the_slots_and_threshold_of_the_reference(spark, tmp_path):
+    from sievelake.plans import catalog
+
+    texts = ["one text about a thing " * 3, "one text about a thing " * 3 + "!", "quite another story", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    signed = catalog.QUERIES["minhash_signature"](spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert len(signed) == 4 and {r["count"] for r in signed} == {128}
+    got = sorted(catalog.QUERIES["near_dup_groups"](spark, str(tmp_path)).collect())
+    assert got == sorted(catalog.near_dup_groups(spark, str(tmp_path), 128, 0.8).collect())
