@@ -2,15 +2,17 @@
 
 A Gaussian kernel over document statistics is approximated by random cosine features (Rahimi and
 Recht, 2007).  Each partition of the labelled statistics sums its own share of the normal equations,
-so only a (D + 1) x (D + 2) matrix leaves a task, whatever the number of rows.  The ridge scores of a
+so only a (D + 1) x (D + 2) matrix leaves a task of ROWS_IN_TASK labelled rows; tasks add these up
+before the driver gets a fixed number of them.  The ridge scores of a
 held-out fifth of the labels are calibrated by pool-adjacent-violators.
 
-Scale: documents are never shuffled.  The labelled sample is bounded (``max_labels``), so its
-broadcast and the driver's share are constants; scoring is one narrow pass over the texts.
+Scale: documents are never shuffled.  The labelled sample is bounded (``max_labels``), and is broadcast
+if its counted rows are small; scoring is one narrow pass over the texts.
 
 Defined results
 * null, empty or blank text: no evidence; score and probability are null and the document is rejected;
-* null doc_id: scored like any other (it can't be labelled); repeated rows are each scored alike;
+* null doc_id: scored like any other (it can't be labelled); repeated rows are each scored alike, to
+  the last bit; a very long text is one row of statistics like any other;
 * label rows with a null in doc_id or quality, or a quality other than 0 and 1, are ignored; repeated
   label rows count once; contradicting rows both count;
 * no usable label, or labels of one kind only: nothing to learn, so score and probability are null
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh, written
+from .common import bounded_batches, discard, fresh, sized_broadcast, written
 from .kernels import buffers, row_bounds, shingles, slices, span_hashes, words
 
 FEATURES = 256
@@ -35,6 +37,10 @@ RIDGE = 1e-3
 MAX_LABELS = 100_000
 THRESHOLD = 0.5
 BINS = 1024
+ROWS_AT_ONCE = 512
+#: Labelled rows whose sums leave a task as one vector, and how many vectors the driver adds up at most.
+ROWS_IN_TASK = 50_000
+VECTORS = 16
 
 _ODD = np.zeros(256, bool)
 _ODD[[ord(c) for c in "#$%&*|@^~<>{}[]\\=+_/"]] = True
@@ -129,10 +135,17 @@ class QualityModel:
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -8, 8)
-        return np.hstack([np.cos(z @ self.weights + self.phases) * np.sqrt(2 / len(self.phases)), np.ones((len(z), 1))])
+        out = np.ones((len(z), len(self.phases) + 1))
+        turn = np.tile(self.phases, (len(z), 1))
+        for j, row in enumerate(self.weights):  # a matrix product rounds a row by the place that it has in its batch
+            turn += z[:, j, None] * row
+        out[:, :-1] = np.cos(turn) * np.sqrt(2 / len(self.phases))
+        return out
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.features(stats[i : i + 4096]) @ self.coefficients for i in range(0, len(stats), 4096)] or [np.zeros(0)])
+        """Equal rows have equal scores, in whatever batches they are."""
+        parts = [(self.features(stats[i : i + ROWS_AT_ONCE]) * self.coefficients).sum(1) for i in range(0, len(stats), ROWS_AT_ONCE)]
+        return np.concatenate(parts or [np.zeros(0)])
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         return np.interp(scores, *self.knots)
@@ -152,8 +165,8 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _summed(df: DataFrame, per_partition, width: int) -> np.ndarray:
-    """Sum over partitions of per_partition(stats, label), each partition sending one vector."""
+def _summed(df: DataFrame, per_partition, width: int, rows: int) -> np.ndarray:
+    """Sum of per_partition(stats, label) over partitions of the ``rows`` rows; the driver gets VECTORS vectors at most."""
 
     def local(batches):
         total = np.zeros(width)
@@ -162,21 +175,31 @@ def _summed(df: DataFrame, per_partition, width: int) -> np.ndarray:
                 total += per_partition(_matrix(batch.column("stats")), batch.column("label").to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
-    parts = df.select("stats", "label").mapInArrow(local, "v array<double>").collect()
-    return np.sum([np.array(r.v) for r in parts], axis=0) if parts else np.zeros(width)
+    def added(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            total += _matrix(batch.column("v")).sum(0) if batch.num_rows else 0
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    tasks = max(1, -(-rows // ROWS_IN_TASK))
+    parts = df.select("stats", "label").repartition(tasks).mapInArrow(local, "v array<double>")
+    if tasks > VECTORS:
+        parts = parts.repartition(VECTORS).mapInArrow(added, "v array<double>")
+    return np.sum([np.array(r.v) for r in parts.collect()], axis=0)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge: float = RIDGE, max_labels: int = MAX_LABELS, seed: int = 11) -> QualityModel | None:
     """Fit on the labelled documents; ``max_labels`` bounds the labelled sample (lowest hashes of doc_id)."""
     bounded_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
-    sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(max_labels)
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    sample = written(usable.orderBy(F.xxhash64("id"), "id", "label").limit(max_labels), "labels")
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sized_broadcast(sample, 40), "id")
     seen = written(joined.select("label", (F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(5)) == 0).alias("held"), _stats_udf()("text").alias("stats")), "quality-labelled")
     d = len(STATISTICS)
-    fit = seen.where("not held")
-    sums = _summed(fit, lambda s, y: np.concatenate([s.sum(0), (s**2).sum(0), [len(s), y.sum()]]), 2 * d + 2)
-    n = sums[-2]
+    discard(sample)
+    fit, held = seen.where("not held"), seen.where("held")
+    n, rest = fit.count(), held.count()
+    sums = _summed(fit, lambda s, y: np.concatenate([s.sum(0), (s**2).sum(0), [y.sum()]]), 2 * d + 1, n)
     if not n or not 0 < sums[-1] < n:
         discard(seen)
         return None
@@ -188,13 +211,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES,
 
     def normal(s, y):
         total = np.zeros((k, k + 1))
-        for i in range(0, len(s), 4096):
-            z = model.features(s[i : i + 4096])
+        for i in range(0, len(s), ROWS_AT_ONCE):
+            z = model.features(s[i : i + ROWS_AT_ONCE])
             total[:, :k] += z.T @ z
-            total[:, k] += z.T @ y[i : i + 4096]
+            total[:, k] += z.T @ y[i : i + ROWS_AT_ONCE]
         return total.ravel()
 
-    eq = _summed(fit, normal, k * (k + 1)).reshape(k, k + 1)
+    eq = _summed(fit, normal, k * (k + 1), n).reshape(k, k + 1)
     penalty = np.full(k, ridge * n / features)
     penalty[-1] = 0
     model.coefficients = np.linalg.solve(eq[:, :k] + np.diag(penalty + 1e-9), eq[:, k])
@@ -203,9 +226,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES,
         at = np.clip(((model.scores(s) + 1) / 3 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
 
-    counts = _summed(seen.where("held"), binned, 2 * BINS)
-    if not counts[:BINS].sum():  # too few labels to hold any out
-        counts = _summed(fit, binned, 2 * BINS)
+    counts = _summed(held, binned, 2 * BINS, rest) if rest else _summed(fit, binned, 2 * BINS, n)  # too few labels to hold any out
     discard(seen)
     used = np.flatnonzero(counts[:BINS])
     model.knots = pool_adjacent((used + 0.5) / BINS * 3 - 1, counts[BINS:][used] / counts[:BINS][used], counts[:BINS][used])

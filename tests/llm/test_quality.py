@@ -90,3 +90,12 @@ def test_nothing_to_learn_keeps_all_that_is_not_blank(spark, labels):
     assert all(r.score is None and r.keep == (r.doc_id != 50) for r in out)
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.score_quality(empty, spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(np.zeros(20), np.ones(20), rng.normal(0, 1, (20, 256)), rng.uniform(0, 6, 256), rng.normal(0, 1, 257), (np.zeros(1), np.zeros(1)))
+    stats = rng.normal(0, 1, (1500, 20))
+    whole = model.scores(stats)
+    for lo, hi in ((0, 1), (3, 10), (511, 514), (700, 1500)):
+        assert (model.scores(stats[lo:hi]) == whole[lo:hi]).all()
