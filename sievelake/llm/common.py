@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.storage import discard, shared_dir, sized_broadcast, written  # noqa: F401
 
 #: Stands for a missing doc_id inside an operator, so that such rows sort last and join like any other.
+#: An id that isn't a whole number counts as missing, and so does this one.
 NO_ID = 2**63 - 1
 
 
@@ -28,7 +29,12 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
 
 
 def id_or_last(column: str = "doc_id") -> Column:
-    return F.coalesce(F.col(column).cast("bigint"), F.lit(NO_ID))
+    return F.coalesce(whole_id(column), F.lit(NO_ID))
+
+
+def whole_id(column: str = "doc_id") -> Column:
+    """The id as a number; null where it isn't one."""
+    return F.col(column).try_cast("bigint")
 
 
 def null_id(column: Column) -> Column:

@@ -1,37 +1,50 @@
-"""Exact nearest neighbours of every vector, with a KD-tree per shard.
+"""Exact nearest neighbours of the asked rows among all rows, with a KD-tree per shard.
 
-Shards are cells of median splits taken from a sample (which decides where vectors lie, not what is
-found).  A shard's tree splits at the median of its widest dimension down to leaves with tight boxes.
-Every vector is searched in its own shard first; its k-th distance then goes along to each other
-shard whose box is not farther, where leaves are visited best first by box-to-query bounds until the
-bound exceeds the k-th distance.  Queries that visit the same leaf are handled by one matrix product;
-pairs that it can't exclude get their distance from the differences.
+Equal vectors are collapsed first: a distinct vector keeps the k + 1 rows of it that come first, which
+are all that any result can need.  Shards are cells of median splits taken from a bounded sample
+(which decides where vectors lie, not what is found); a large cell is cut into blocks by hash.  Each
+block has a tree that splits at the median of its widest dimension down to leaves with tight boxes.
 
-Scale: a task holds one shard and at most ``query_rows`` queries; results are merged by query.  A
-query moves only to shards that its k-th distance can't rule out.
+A query visits the cells in the order of their box-to-query bounds, in rounds of growing numbers of
+cells: the nearest cell first, then four more, sixteen more and so on.  Its k-th distance goes from
+round to round, and a cell whose bound exceeds it isn't visited.  Within a block, leaves are visited
+best first until the bound exceeds the k-th distance.  Queries that visit the same leaf are handled by
+one matrix product; pairs that it can't exclude get their distance from the differences.
+
+Scale: a task holds one block of points and CHUNK queries at a time; the queries of a block stream past
+its tree, and a block that very many ask for is copied, once for each ``query_rows`` of them.  The
+driver holds splits, boxes and sizes of at most MAX_SHARDS cells.  Rounds grow with the logarithm of
+that number.  Results are merged by query, k + 1 rows of each at most.
 
 Defined results
 * neighbours are the other rows, at Euclidean distance, ordered by (distance, id, row); ids that are
-  null come last; a repeated row is a neighbour at distance 0, a row is never its own;
+  null, or no numbers, come last; a repeated row is a neighbour at distance 0, a row is never its own;
+* ``asked`` says whose neighbours are wanted (all rows, if it is None; a null says no); every row is
+  a possible neighbour;
 * a null vector, or one with a null, NaN or infinite element, has no rows and is no neighbour, nor is
   an empty one; vectors are compared with those of their own dimension only;
-* with fewer than k others, all of them are returned; an empty table gives no rows.
+* with fewer than k others, all of them are returned; any number of equal rows is one vector to
+  search; an empty table gives no rows; other columns are not read, but by ``asked``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, null_id, written
+from .common import NO_ID, discard, id_or_last, null_id, sized_broadcast, written  # noqa: F401
 
 K = 10
 SHARD_ROWS = 16_384
+MAX_SHARDS = 1024
 LEAF_ROWS = 256
-QUERY_ROWS = 65_536
-CHUNK = 4096
+QUERY_ROWS = 262_144
+CHUNK = 1024
+#: Numbers that the sample for the splits has at most, and sampled vectors for each cell.
+SAMPLE_NUMBERS = 1 << 22
+SAMPLED = 64
 
 
 class Tree:
@@ -66,16 +79,16 @@ def bounds(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out * (1 - 1e-12)
 
 
-def search(tree: Tree, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, squared distance, point) of up to k points for each query, none farther than its kth."""
+def search(tree: Tree, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, squared distance, point) of the first k points of each query by (distance, id, row), none farther than its kth."""
     found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
     ids, rows = ids[tree.order], rows[tree.order]
     for c in range(0, len(x), CHUNK):
-        q, own, limit = x[c : c + CHUNK], x_rows[c : c + CHUNK], kth[c : c + CHUNK].copy()
+        q, limit = x[c : c + CHUNK], kth[c : c + CHUNK].copy()
         q_square = (q**2).sum(1)
         bound = bounds(q, tree.lo, tree.hi)
         visit = np.argsort(bound, axis=1)
-        top = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        top = found[0]
         active = np.arange(len(q))
         for step in range(len(tree.lo)):
             leaf = visit[active, step]
@@ -91,17 +104,20 @@ def search(tree: Tree, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, x_rows:
                 lo, hi = tree.edge[i], tree.edge[i + 1]
                 scale = q_square[who][:, None] + tree.square[lo:hi]
                 rough = scale - 2 * (q[who] @ tree.points[lo:hi].T)
-                w, p = np.nonzero(rough <= limit[who][:, None] + 1e-9 * scale)
+                slack = 1e-9 * scale
+                most = limit[who]
+                if hi - lo > k:  # what k points of this leaf surely undercut can't be among the first k
+                    most = np.minimum(most, np.partition(rough + slack, k - 1, axis=1)[:, k - 1])
+                w, p = np.nonzero(rough <= most[:, None] + slack)
                 pairs.append((who[w], p + lo))
             who, p = (np.concatenate(z) for z in zip(*pairs))
             gap = q[who] - tree.points[p]
             dist = np.einsum("ij,ij->i", gap, gap)
-            ok = (dist <= limit[who]) & (rows[p] != own[who])
+            ok = dist <= limit[who]
             who, dist, p = (np.r_[t, z[ok]] for t, z in zip(top, (who, dist, p)))
             sort = np.lexsort((rows[p], ids[p], dist, who))
             who, dist, p = who[sort], dist[sort], p[sort]
-            begin = np.searchsorted(who, who)
-            rank = np.arange(len(who)) - begin
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
             last = rank == k - 1
             limit[who[last]] = dist[last]
             top = tuple(z[rank < k] for z in (who, dist, p))
@@ -137,84 +153,156 @@ def _cell(x: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
     return at - len(splits)
 
 
-def _sharded(points: DataFrame, dim: int, shards: int, n: int) -> DataFrame:
-    sample = points.where(F.col("dim") == dim)
-    if shards > 1 and 64 * shards < n:
-        sample = sample.sample(64 * shards / n, seed=7)
-    rows = sample.select("v").collect() if shards > 1 else []
-    splits = _splits(np.array([r.v for r in rows], float).reshape(len(rows), dim), shards)
+_FOUND = "query long, squared double, point long, id long, row long"
+_BLOCK_BITS = 32
+
+
+def _sharded(points: DataFrame, dim: int, n: int, shard_rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points with the cell and the block that each lies in; written), and of the cells: number, blocks, lo, hi."""
+    shards = min(MAX_SHARDS, -(-n // shard_rows))
+    mine = points.where(F.col("dim") == dim)
+    splits: list[tuple[int, float]] = []
+    if shards > 1:
+        wanted = min(SAMPLED * shards, max(shards, SAMPLE_NUMBERS // dim))
+        rows = (mine.sample(wanted / n, seed=7) if wanted < n else mine).select("v").collect()
+        splits = _splits(np.array([r.v for r in rows], float).reshape(len(rows), dim), shards)
 
     @F.arrow_udf("bigint")
     def cell(v: pa.Array) -> pa.Array:
         return pa.array(_cell(_matrix(v), splits) if len(v) else np.zeros(0, np.int64))
 
-    return points.where(F.col("dim") == dim).withColumn("shard", cell("v"))
-
-
-_FOUND = "row long, id long, neighbor_row long, neighbor long, squared double"
-
-
-def _found(query_rows, query_ids, rows, ids, result) -> pa.Table:
-    who, squared, p = result
-    return pa.table({"row": query_rows[who], "id": query_ids[who], "neighbor_row": rows[p], "neighbor": ids[p], "squared": squared})
-
-
-def nearest(vectors: DataFrame, *, k: int = K, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance) for the k nearest others of every row; rank from 1."""
+    def boxes(batches):
+        least: dict[int, np.ndarray] = {}
+        most: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for batch in batches:
+            x, at = _matrix(batch.column("v")) if batch.num_rows else np.zeros((0, dim)), batch.column("cell").to_numpy(zero_copy_only=False)
+            for c in np.unique(at).tolist():
+                own = x[at == c]
+                lo, hi = own.min(0), own.max(0)
+                least[c] = np.minimum(least[c], lo) if c in least else lo
+                most[c] = np.maximum(most[c], hi) if c in most else hi
+                count[c] = count.get(c, 0) + len(own)
+        lists = lambda found: pa.array([found[c].tolist() for c in count], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), lists(least), lists(most)], ["cell", "n", "lo", "hi"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"cell": table.column("cell")[:1], "n": pa.array([int(table.column("n").to_numpy().sum())]), "lo": pa.array([_matrix(table.column("lo")).min(0).tolist()]), "hi": pa.array([_matrix(table.column("hi")).max(0).tolist()])})
+
+    kind = "cell long, n long, lo array<double>, hi array<double>"
+    placed = written(mine.withColumn("cell", cell("v")).repartition("cell", F.pmod("point", F.lit(256))), "vector-cells")
+    found = sorted(placed.select("cell", "v").mapInArrow(boxes, kind).groupBy("cell").applyInArrow(merged, kind).collect())  # at most 2 * MAX_SHARDS cells
+    return placed, np.array([r.cell for r in found]), np.array([-(-r.n // (2 * shard_rows)) for r in found]), np.array([r.lo for r in found]), np.array([r.hi for r in found])
+
+
+def _searched(k: int, leaf_rows: int):
+    """For rows sorted by (cell, part, kind), points before queries: what the queries find in the cell."""
+
+    def run(batches):
+        key, held, tree = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, part, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "kind"))
+            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
+            for a, b in zip(edge, np.r_[edge[1:], len(cell)]):
+                if key != (cell[a], part[a]):
+                    key, held, tree = (cell[a], part[a]), [], None
+                rows = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    held.append(rows)
+                    continue
+                if tree is None:
+                    points = pa.Table.from_batches(held)
+                    held = [points.column(c).to_numpy() for c in ("point", "id", "row")]
+                    tree = Tree(_matrix(points.column("v")), leaf_rows)
+                who, squared, p = search(tree, held[1], held[2], _matrix(rows.column("v")), rows.column("kth").to_numpy(zero_copy_only=False), k)
+                cols = [rows.column("point").to_numpy(zero_copy_only=False)[who], squared, *(h[p] for h in held)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "squared", "point", "id", "row"])
+
+    return run
+
+
+def _firsts(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy("squared", "id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
+def _nearest_points(points: DataFrame, dim: int, n: int, k: int, shard_rows: int, leaf_rows: int, query_rows: int) -> DataFrame:
+    """(query, squared, point, id, row): the first k distinct vectors for each asked one of them; a written table."""
+    placed, cells, blocks, lo, hi = _sharded(points, dim, n, shard_rows)
+    names = np.concatenate([(int(c) << _BLOCK_BITS) + np.arange(m) for c, m in zip(cells, blocks)]).astype(np.int64)
+    of_cell, first_block = np.repeat(np.arange(len(cells)), blocks), np.cumsum(blocks) - blocks
+    block = F.pmod(F.xxhash64("point"), F.element_at(F.array(*(F.lit(int(m)) for m in blocks)), F.array_position(F.array(*(F.lit(int(c)) for c in cells)), F.col("cell")).cast("int")))
+    placed_in = placed.withColumn("cell", F.shiftleft("cell", _BLOCK_BITS) + block) if (blocks > 1).any() else placed.withColumn("cell", F.shiftleft("cell", _BLOCK_BITS))
+
+    def visited(begin: int, end: int):
+        @F.arrow_udf("array<bigint>")
+        def visit(v: pa.Array, kth: pa.Array) -> pa.Array:
+            if not len(v):
+                return pa.array([], pa.list_(pa.int64()))
+            bound = bounds(_matrix(v), lo, hi)
+            order = np.argsort(bound, axis=1, kind="stable")[:, begin:end]
+            near = np.take_along_axis(bound, order, 1) <= kth.to_numpy(zero_copy_only=False)[:, None]
+            who, chosen = np.nonzero(near)[0], order[near]
+            size = blocks[chosen]
+            at = np.repeat(first_block[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            total = np.bincount(who, size, len(v)).astype(np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total)].astype(np.int32)), pa.array(names[at]))
+
+        return visit
+
+    queries = placed.where("asked").select("point", "v")
+    top, begin, width = None, 0, 1
+    while begin < len(cells):
+        if top is None:
+            now = queries.withColumn("kth", F.lit(float("inf")))
+        else:
+            kth = top.groupBy(F.col("query").alias("point")).agg(F.when(F.count("*") >= k, F.max("squared")).alias("kth"))
+            now = queries.join(kth, "point", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+        now = written(now.withColumn("cell", F.explode(visited(begin, begin + width)("v", "kth"))), "vector-queries")
+        load = written(now.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts")), "vector-load")
+        parts = sized_broadcast(load, 24)
+        side = lambda df, part, kind, *cols: df.join(parts, "cell").select("cell", part.alias("part"), F.lit(kind).alias("kind"), "point", "v", *cols)
+        given = side(placed_in, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), 0, "id", "row", F.lit(None).cast("double").alias("kth"))
+        asking = side(now, F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"), 1, F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("row"), "kth")
+        sorted_ = given.union(asking).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+        found = sorted_.mapInArrow(_searched(k, leaf_rows), _FOUND)
+        before, top = top, written(_firsts(found if top is None else top.union(found), k), "vector-neighbours")
+        discard(now, load, *([] if before is None else [before]))
+        begin, width = begin + width, 4 * width
+    discard(placed)
+    return top
+
+
+def nearest(vectors: DataFrame, *, asked: str | Column | None = None, k: int = K, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance) for the k nearest others of every asked row; rank from 1."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    v = F.col("embedding").cast("array<double>")
+    asked = F.lit(True) if asked is None else F.expr(asked) if isinstance(asked, str) else asked
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda e: e + F.lit(0.0))  # -0.0 becomes 0.0
     good = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    points = vectors.select(F.coalesce(F.col("vec_id").cast("bigint"), F.lit(NO_ID)).alias("id"), v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & good)
-    points = written(points.select("id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
-    results = []
-    for dim, n in sorted((r.dim, r["count"]) for r in points.groupBy("dim").count().collect()):
-        results.append(_nearest_of(written(_sharded(points, dim, -(-n // shard_rows), n), "vector-shards"), n, k, leaf_rows, query_rows))
-    if not results:
+    rows = vectors.select(id_or_last("vec_id").alias("id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where(F.col("v").isNotNull() & (F.size("v") > 0) & good)
+    rows = written(rows.select("id", F.xxhash64("v").alias("h"), "v", "asked", F.monotonically_increasing_id().alias("row")), "vectors")
+    order = Window.partitionBy("h", "v").orderBy("id", "row")
+    first = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)  # cut before the shuffle, too
+    distinct = first.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("id", "row"))).alias("best"))
+    wanted = rows.where("asked").select("h", "v").distinct().withColumn("asked", F.lit(True))
+    points = distinct.join(wanted, ["h", "v"], "left").select("h", "v", "best", F.coalesce("asked", F.lit(False)).alias("asked"), F.monotonically_increasing_id().alias("point"))
+    points = written(points.withColumn("dim", F.size("v")), "distinct-vectors")
+    searched = points.select("point", "v", "dim", "asked", F.col("best")[0]["id"].alias("id"), F.col("best")[0]["row"].alias("row"))
+    tops = [_nearest_points(searched, r.dim, r["count"], k + 1, shard_rows, leaf_rows, query_rows) for r in sorted(points.groupBy("dim").count().collect(), key=lambda r: r.dim)]
+    if not tops:
+        discard(rows, points)
         return vectors.sparkSession.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
-    found = results[0]
-    for more in results[1:]:
-        found = found.union(more)
-    order = Window.partitionBy("row").orderBy("squared", "neighbor", "neighbor_row")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select(null_id(F.col("id")).alias("vec_id"), "rank", null_id(F.col("neighbor")).alias("neighbor_id"), F.sqrt("squared").alias("distance"))
-
-
-def _nearest_of(points: DataFrame, n: int, k: int, leaf_rows: int, query_rows: int) -> DataFrame:
-    def own(table: pa.Table) -> pa.Table:
-        x, ids, rows = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("row").to_numpy()
-        tree = Tree(x, leaf_rows)
-        return _found(rows, ids, rows, ids, search(tree, ids, rows, x, rows, np.full(len(x), np.inf), k))
-
-    def box(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("v"))
-        return pa.table({"shard": table.column("shard")[:1], "lo": pa.array([x.min(0).tolist()]), "hi": pa.array([x.max(0).tolist()])})
-
-    first = written(points.groupBy("shard").applyInArrow(own, _FOUND), "own-shard")
-    boxes = points.select("shard", "v").groupBy("shard").applyInArrow(box, "shard long, lo array<double>, hi array<double>").orderBy("shard").collect()
-    if len(boxes) == 1:
-        return first
-    names, lo, hi = np.array([b.shard for b in boxes]), np.array([b.lo for b in boxes]), np.array([b.hi for b in boxes])
-
-    @F.arrow_udf("array<bigint>")
-    def reached(v: pa.Array, shard: pa.Array, kth: pa.Array) -> pa.Array:
-        near = bounds(_matrix(v), lo, hi) <= kth.to_numpy(zero_copy_only=False)[:, None] if len(v) else np.zeros((0, len(names)), bool)
-        near &= names != shard.to_numpy(zero_copy_only=False)[:, None]
-        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(near.sum(1))].astype(np.int32), np.broadcast_to(names, near.shape)[near])
-
-    kth = first.groupBy("row").agg(F.when(F.count("*") >= k, F.max("squared")).alias("kth"))
-    asked = points.join(kth, "row", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
-    asked = asked.select("id", "row", "v", "kth", F.explode(reached("v", "shard", "kth")).alias("shard"))
-    parts = max(1, -(-n // query_rows))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    copies = points.select(*(F.col(c).alias(f"p_{c}") for c in ("id", "row", "v", "shard")), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("p_part"))
-
-    def other(queries: pa.Table, table: pa.Table) -> pa.Table:
-        if not queries.num_rows or not table.num_rows:
-            return _found(*(np.zeros(0, np.int64),) * 4, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
-        ids, rows, q_rows = table.column("p_id").to_numpy(), table.column("p_row").to_numpy(), queries.column("row").to_numpy()
-        result = search(Tree(_matrix(table.column("p_v")), leaf_rows), ids, rows, _matrix(queries.column("v")), q_rows, queries.column("kth").to_numpy(), k)
-        return _found(q_rows, queries.column("id").to_numpy(), rows, ids, result)
-
-    more = asked.groupBy("shard", "part").cogroup(copies.groupBy("p_shard", "p_part")).applyInArrow(other, _FOUND)
-    return first.union(more)
+    top = tops[0]
+    for more in tops[1:]:
+        top = top.union(more)
+    lists = top.select("query", "squared", "point").join(points.select("point", "best"), "point").groupBy("query").agg(F.collect_list(F.struct("squared", "best")).alias("near"))  # k + 1 vectors of k + 1 rows
+    flat = F.flatten(F.transform("near", lambda p: F.transform(p["best"], lambda b: F.struct(p["squared"].alias("squared"), b["id"].alias("id"), b["row"].alias("row")))))
+    lists = lists.select("query", F.slice(F.array_sort(flat), 1, k + 1).alias("near"))
+    who = rows.where("asked").select("h", "v", "id", "row").join(points.select("h", "v", F.col("point").alias("query")), ["h", "v"]).select("id", "row", "query")
+    others = F.slice(F.filter("near", lambda n: n["row"] != F.col("row")), 1, k)
+    out = who.join(lists, "query").select("id", F.posexplode(others).alias("place", "n"))
+    out = out.select(null_id(F.col("id")).alias("vec_id"), (F.col("place") + 1).alias("rank"), null_id(F.col("n.id")).alias("neighbor_id"), F.sqrt("n.squared").alias("distance"))
+    return out

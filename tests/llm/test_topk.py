@@ -36,3 +36,35 @@ def test_defined_cases(spark):
 def test_same_points_make_one_leaf():
     tree = topk.Tree(np.ones((1000, 3)), 10)
     assert len(tree.edge) == 2
+
+
+def test_asked_rows_are_searched_among_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, np.float32(rng.normal(0, 1, 5)).tolist(), 0) for i in range(300)] + [(500, None, 0), (None, [0.0] * 5, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = topk.nearest(df, asked="vec_id % 50 = 0", k=3, shard_rows=20, leaf_rows=4, query_rows=2).collect()
+    want = [x for x in brute(rows, 3) if x[0] is not None and x[0] % 50 == 0]
+    assert sorted(((r.vec_id, r.rank, r.neighbor_id, round(r.distance, 6)) for r in got), key=str) == want
+
+
+def test_blocks_of_a_large_cell(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MAX_SHARDS", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, np.float32(rng.normal(0, 1, 3)).tolist(), 0) for i in range(150)]
+    got = topk.nearest(spark.createDataFrame(rows, SCHEMA), k=4, shard_rows=10, leaf_rows=3).collect()
+    assert sorted(((r.vec_id, r.rank, r.neighbor_id, round(r.distance, 6)) for r in got), key=str) == brute(rows, 4)
+
+
+def test_many_equal_vectors(spark):
+    """A third of all rows is one vector; each finds its first ten others at distance 0."""
+    same = spark.range(30_000).selectExpr("id as vec_id", "array(1f, 0f, if(id % 2 = 0, 0f, -0f)) as embedding", "0 as label")
+    rest = spark.range(30_000, 32_000).selectExpr("id as vec_id", "array(float(id), 2f, 3f) as embedding", "0 as label")
+    got = topk.nearest(same.union(rest))
+    counted = got.where("vec_id < 30000").groupBy("distance").count().collect()
+    assert [(r.distance, r["count"]) for r in counted] == [(0.0, 300_000)]
+    assert [r.neighbor_id for r in got.where("vec_id = 3").orderBy("rank").collect()] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_ids_that_are_no_numbers_count_as_missing(spark):
+    df = spark.createDataFrame([("a", [0.0]), ("7", [1.0])], "vec_id string, embedding array<double>")
+    assert {(r.vec_id, r.neighbor_id) for r in topk.nearest(df).collect()} == {(None, 7), (7, None)}
