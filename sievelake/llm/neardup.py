@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType
 from sievelake.operators.components import connected_components
 
 from .common import bounded_batches, discard, fresh, id_or_last, null_id, sized_broadcast, written
-from .kernels import buffers, mix64, row_bounds, shingles, slices, span_hashes, words
+from .kernels import buffers, mix64, row_bounds, shingles, slices, sorted_leaders, span_hashes, words
 
 WIDTH = 3
 BANDS = 40
@@ -113,38 +113,6 @@ def _sketch_rows(width: int, bands: int, rows: int):
     return run
 
 
-def _leaders(batches):
-    """For sorted (key, node): (key, node, smallest node of the key) wherever a key has two nodes or more."""
-    names = ["key", "node", "leader"]
-    held = None  # the last row waits for its successor, which says whether it is alone
-    carry = None  # (key, leader) of the held row, if it is known not to be
-
-    def marked(key, node):
-        begin = np.r_[True, key[1:] != key[:-1]]
-        leader = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
-        many = np.r_[~begin[1:], False] | ~begin
-        if carry is not None and carry[0] == key[0]:
-            same = key == key[0]
-            leader[same], many[same] = carry[1], True
-        return leader, many
-
-    def emitted(key, node, leader, many):
-        keep = np.flatnonzero(many)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, leader)], names)
-
-    for batch in batches:
-        if batch.num_rows:
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-            if held is not None:
-                key, node = np.r_[held[0], key], np.r_[held[1], node]
-            leader, many = marked(key, node)
-            if len(key) > 1:
-                yield emitted(key[:-1], node[:-1], leader[:-1], many[:-1])
-            held, carry = (key[-1:], node[-1:]), (key[-1], leader[-1]) if many[-1] else None
-    if held is not None:
-        yield emitted(*held, *marked(*held))
-
-
 @F.arrow_udf(DoubleType())
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
@@ -194,7 +162,7 @@ def near_duplicate_members(docs: DataFrame, *, width: int = WIDTH, bands: int =
     sketched = written(keyed.mapInArrow(_sketch_rows(width, bands, rows), kind), "sketches")
     distinct = sketched.groupBy("node").agg(F.min(F.struct("id", "th", "bands")).alias("m")).select("node", "m.*")
     key = distinct.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    buckets = written(key.mapInArrow(_leaders, "key long, node long, leader long"), "buckets")
+    buckets = written(key.mapInArrow(sorted_leaders, "key long, node long, leader long"), "buckets")
     wanted = buckets.select("node").distinct().join(sketched.select("node", "id", "th"), "node").groupBy("node").agg(F.min(F.struct("id", "th")).alias("m"))
     wanted = written(wanted.select("node", "m.*"), "candidates")
     sets = written(keyed.join(sized_broadcast(wanted, 60), ["id", "th"]).mapInArrow(_set_rows(width), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sievelake.llm import neardup
+from sievelake.llm import kernels, neardup
 from sievelake.llm.kernels import buffers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -98,5 +98,5 @@ def test_leaders_across_batches():
     for cut in range(len(key)):
         for cut2 in range(cut, len(key)):
             batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(node[a:b])], ["key", "node"]) for a, b in ((0, cut), (cut, cut2), (cut2, len(key)))]
-            got = [tuple(r.values()) for b in neardup._leaders(batches) for r in b.to_pylist()]
+            got = [tuple(r.values()) for b in kernels.sorted_leaders(batches) for r in b.to_pylist()]
             assert got == [(2, 1, 1), (2, 2, 1), (2, 3, 1), (4, 6, 6), (4, 7, 6)]
