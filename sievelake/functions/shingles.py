@@ -28,6 +28,53 @@ def token_hash(token: str) -> int:
     return int.from_bytes(digest.digest()[:4], "little")
 
 
+_BITS, _PAD = 21, (1 << 21) - 1  # of a code point, and what is none
+
+
+def packed_ngrams(texts: list[str | None], size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct n-grams, sorted; which of them each text has; the text of each): :func:`ngrams` of many texts at once.
+
+    Up to three characters are packed into a number; longer n-grams are rows of code points.
+    """
+    ready = [str.strip(t.lower()) if t else "" for t in texts]
+    length = np.array([len(t) for t in ready], np.int64)
+    points = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    count = np.where(length > 0, np.maximum(length - size + 1, 1), 0)
+    row = np.repeat(np.arange(len(ready)), count)
+    begin = np.repeat(np.cumsum(length) - length - (np.cumsum(count) - count), count) + np.arange(len(row))
+    end = np.cumsum(length)[row]
+    points = np.r_[points, np.zeros(size, np.int64)]
+    columns = [np.where(begin + k < end, points[begin + k], _PAD) for k in range(size)]
+    if size <= 3:
+        key = columns[0]
+        for c in columns[1:]:
+            key = key << _BITS | c
+    else:
+        wide = np.ascontiguousarray(np.stack(columns, 1).astype(">u4"))
+        key = wide.view(f"S{4 * size}").ravel() if len(wide) else np.zeros(0, f"S{4 * size}")
+    grams, at = np.unique(key, return_inverse=True)
+    has = np.unique(row * len(grams) + at) if len(row) else row
+    return grams, has % max(len(grams), 1), has // max(len(grams), 1)
+
+
+def token_hashes(grams: np.ndarray, size: int) -> np.ndarray:
+    """:func:`token_hash` of n-grams that :func:`packed_ngrams` made."""
+    if size <= 3:
+        points = [[p for p in (g >> _BITS * k & _PAD for k in range(size - 1, -1, -1)) if p != _PAD] for g in grams.tolist()]
+    else:
+        wide = np.ascontiguousarray(grams).view(">u4").reshape(len(grams), -1).tolist()
+        points = [[p for p in g if p != _PAD] for g in wide]
+    return np.array([token_hash("".join(map(chr, p))) for p in points], np.uint64)
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 that spreads its bits (Steele, Lea and Flood, 2014)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def hash_family(num_perm: int, seed: int = 42) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Multipliers and offsets of the functions (a * h + b) mod PRIME; all multipliers are drawn first."""
     draw = random.Random(seed)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -12,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sievelake.functions.shingles import BLANK_SLOT, hash_family, ngrams, permuted, token_hash
+from sievelake.functions.shingles import BLANK_SLOT, hash_family, mixed64, packed_ngrams, permuted, token_hashes
 from sievelake.operators.components import connected_components
 from sievelake.storage import written
 
 NUM_PERM, NGRAM_SIZE, THRESHOLD = 128, 3, 0.8
-#: n-grams whose values are computed at once; it bounds a worker's memory.
-_GRAMS_AT_ONCE = 1 << 15
+#: Slot values that a worker keeps of the n-grams it has met, and that it gathers at once; they bound its memory.
+_KNOWN_VALUES, _GATHERED_VALUES = 1 << 23, 1 << 22
+#: Characters of the texts whose n-grams are found at once; one text may be longer.
+_CHARACTERS = 1 << 20
+#: Signatures that are compared with each other in one task; larger buckets are cut into blocks.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,7 @@ class MinHasher:
         _positive(num_perm=num_perm, ngram_size=ngram_size)
         self.num_perm, self.ngram_size = num_perm, ngram_size
         self.a, self.b = (np.array(x, np.uint64) for x in hash_family(num_perm, seed))
+        self.grams = None
 
     def signature(self, text: str) -> MinHashSignature:
         return MinHashSignature(tuple(map(int, self.many([text])[0])))
@@ -53,19 +57,52 @@ class MinHasher:
     def many(self, texts: list[str | None]) -> np.ndarray:
         """One row of slots for each text; a null counts as blank."""
         out = np.full((len(texts), self.num_perm), BLANK_SLOT, np.uint64)
-        known: dict[str, int] = {}
+        begin, size = 0, 0
         for i, text in enumerate(texts):
-            grams = set(ngrams(text or "", self.ngram_size))
-            new = list(itertools.filterfalse(known.__contains__, grams))
-            known.update(zip(new, map(token_hash, new)))
-            hashes = np.array([known[g] for g in grams], np.uint64)
-            for j in range(0, len(hashes), 4096):
-                slots = permuted(hashes[j : j + 4096], self.a, self.b).min(0)
-                out[i] = np.minimum(out[i], slots) if j else slots
-            if len(known) > _GRAMS_AT_ONCE:
-                known.clear()
+            size += len(text or "")
+            if size >= _CHARACTERS or i + 1 == len(texts):
+                self._fill(texts[begin : i + 1], out[begin : i + 1])
+                begin, size = i + 1, 0
         return out
 
+    def _fill(self, texts: list[str | None], out: np.ndarray) -> None:
+        grams, at, row = packed_ngrams(texts, self.ngram_size)  # distinct n-grams; which of them each text has, by text
+        if not len(grams):
+            return
+        place = self._known(grams)
+        edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        end = np.r_[edge[1:], len(row)]
+        step = max(1, _GATHERED_VALUES // self.num_perm)
+        k = 0
+        while k < len(edge):
+            last = max(k + 1, int(np.searchsorted(end, edge[k] + step, "right")))
+            if end[last - 1] - edge[k] <= step:
+                values = self.values[place[at[edge[k] : end[last - 1]]]]
+                out[row[edge[k:last]]] = np.minimum.reduceat(values, edge[k:last] - edge[k], axis=0)
+            else:  # one text of very many n-grams
+                parts = [self.values[place[at[i : min(i + step, end[k])]]].min(0) for i in range(edge[k], end[k], step)]
+                out[row[edge[k]]] = np.min(parts, 0)
+            k = last
+
+    def _known(self, grams: np.ndarray) -> np.ndarray:
+        """Row of ``values`` of each n-gram; those of new ones are computed."""
+        if self.grams is None or len(self.grams) * self.num_perm > _KNOWN_VALUES:
+            self.grams, self.values = grams[:0], np.zeros((0, self.num_perm), np.uint64)
+            self.rows = np.zeros(0, np.int64)
+        found = np.searchsorted(self.grams, grams)
+        old = found < len(self.grams)
+        old[old] = self.grams[found[old]] == grams[old]
+        new = grams[~old]
+        if len(new):
+            hashes = token_hashes(new, self.ngram_size)
+            made = [permuted(hashes[i : i + 4096], self.a, self.b) for i in range(0, len(new), 4096)]
+            rows = np.r_[self.rows, len(self.values) + np.arange(len(new))]
+            both = np.concatenate([self.grams, new])
+            order = np.argsort(both, kind="stable")
+            self.grams, self.rows, self.values = both[order], rows[order], np.concatenate([self.values, *made])
+            found = np.searchsorted(self.grams, grams)
+        return self.rows[found]
+
 
 def signatures(texts: DataFrame, key: str, text: str, *, num_perm: int = NUM_PERM, ngram_size: int = NGRAM_SIZE, seed: int = 42) -> DataFrame:
     """(key, signature array<bigint>) for every row; one narrow pass."""
@@ -73,7 +110,7 @@ def signatures(texts: DataFrame, key: str, text: str, *, num_perm: int = NUM_PER
 
     @F.arrow_udf("array<bigint>")
     def signed(column: pa.Array) -> pa.Array:
-        parts = [hasher.many(column.slice(i, 64).to_pylist()) for i in range(0, len(column), 64)]
+        parts = [hasher.many(column.slice(i, 256).to_pylist()) for i in range(0, len(column), 256)]
         flat = np.concatenate(parts).astype(np.int64).ravel() if parts else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * num_perm, flat)
 
@@ -105,22 +142,106 @@ def _checked(num_perm: int, ngram_size: int, threshold: float) -> None:
     _positive(num_perm=num_perm, ngram_size=ngram_size)
 
 
+def _band_rows(num_perm: int, needed: int):
+    """(band, n, sketch) of every signature: a key for each band; the sketch has a byte of each slot."""
+    edges = [lo for lo, _ in _bands(num_perm, needed)]
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            slots = batch.column("signature").flatten().to_numpy().reshape(m, -1)
+            mixed = mixed64(slots.view(np.uint64) + np.arange(num_perm, dtype=np.uint64))
+            with np.errstate(over="ignore"):
+                bands = mixed64(np.add.reduceat(mixed, edges, axis=1) + np.arange(len(edges), dtype=np.uint64))
+            sketch = np.ascontiguousarray((mixed >> np.uint64(56)).astype(np.uint8))
+            offsets = np.arange(m + 1, dtype=np.int64) * num_perm
+            sketches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(sketch)]).cast(pa.binary())
+            for i in range(len(edges)):
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, i].view(np.int64)), batch.column("n"), sketches], ["band", "n", "sketch"])
+
+    return run
+
+
+def _near_in_buckets(needed: int):
+    """For rows sorted by (band, part): pairs of a bucket whose sketches agree in ``needed`` bytes at least."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "part", "n")]
+            raw = batch.column("sketch").cast(pa.large_binary())
+            sketch = np.frombuffer(raw.buffers()[2], np.uint8)[int(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]) :][: len(raw) * len(raw[0].as_py())].reshape(len(raw), -1)
+            now = [*cols, sketch]
+            if held is not None:
+                now = [np.concatenate(pair) for pair in zip(held, now)]
+            band, part = now[:2]
+            new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])])
+            yield from _compared(new[:-1], new[1:], now[2], now[3], needed)
+            held = [c[new[-1] :].copy() for c in now]
+        if held is not None:
+            yield from _compared(np.zeros(1, np.int64), np.array([len(held[0])]), held[2], held[3], needed)
+
+    return run
+
+
+def _compared(begin, end, n, sketch, needed: int):
+    """Batches of the pairs of each run begin..end that are near."""
+    out = []
+    size = end - begin
+    few = np.flatnonzero((size > 1) & (size <= 32))
+    for step in range(1, int(size[few].max(initial=1))):
+        runs = few[size[few] > step]
+        count = size[runs] - step
+        first = np.repeat(begin[runs] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        for i in range(0, len(first), 65536):
+            x = first[i : i + 65536]
+            near = x[(sketch[x] == sketch[x + step]).sum(1) >= needed]
+            out.append((n[near], n[near + step]))
+    for k in np.flatnonzero(size > 32):
+        own, names = sketch[begin[k] : end[k]], n[begin[k] : end[k]]
+        for i in range(len(own) - 1):
+            j = i + 1 + np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= needed)
+            out.append((np.full(len(j), names[i]), names[j]))
+    if out:
+        a, b = (np.concatenate(c) for c in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _bucketed(keys: DataFrame) -> DataFrame:
+    """``keys`` with a part: buckets above BLOCK rows are cut into blocks, of which each two meet in one part."""
+    large = written(keys.groupBy("band").count().where(F.col("count") > BLOCK), "large-bands")
+    if not large.count():
+        return keys.withColumn("part", F.lit(0).cast("bigint"))
+    blocks = F.ceil(F.col("count") / BLOCK)
+    cut = keys.join(large, "band").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("n"), F.col("blocks")))
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cut = cut.select("band", "n", "sketch", (F.least("i", "j") * F.col("blocks") + F.greatest("i", "j") + 1).alias("part"))
+    return cut.union(keys.join(large, "band", "left_anti").select("band", "n", "sketch", F.lit(0).cast("bigint").alias("part")))
+
+
 def _similar_signatures(distinct: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """(p, q, matches), p < q, for similar ones of a written table (s, signature) of distinct signatures.
+    """(p, q, matches) for similar ones of a written table (s, n, signature) of distinct signatures, each pair once.
 
     The result is that of comparing all pairs: a pair that is similar enough differs in too few slots
-    to differ in every band.
+    to differ in every band.  Bands carry a byte of each slot, so the signatures themselves, of which
+    a kilobyte each would move for every pair of a bucket, move only for pairs whose bytes agree.
     """
     needed = needed_matches(num_perm, threshold)
-    a, b = distinct.alias("a"), distinct.alias("b")
+    side = lambda i, s, g: distinct.select(F.col("n").alias(i), F.col("s").alias(s), F.col("signature").alias(g))
     if needed == 0:
-        pairs = a.join(b, F.col("a.s") < F.col("b.s")).select(F.col("a.s").alias("p"), F.col("b.s").alias("q"))
+        a, b = distinct.alias("a"), distinct.alias("b")
+        pairs = a.join(b, F.col("a.n") < F.col("b.n")).select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
+    elif needed > num_perm:
+        pairs = distinct.where(F.lit(False)).select(F.col("n").alias("a"), F.col("n").alias("b"))
     else:
-        bands = F.array(*(F.xxhash64(F.lit(i), F.slice("signature", lo + 1, hi - lo)) for i, (lo, hi) in enumerate(_bands(num_perm, needed))))
-        keys = distinct.select("s", F.explode(bands).alias("band"))
-        x, y = keys.alias("x"), keys.alias("y")
-        pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.s") < F.col("y.s"))).select(F.col("x.s").alias("p"), F.col("y.s").alias("q")).distinct()
-    both = pairs.join(distinct.select(F.col("s").alias("p"), F.col("signature").alias("sp")), "p").join(distinct.select(F.col("s").alias("q"), F.col("signature").alias("sq")), "q")
+        keys = distinct.select("n", "signature").mapInArrow(_band_rows(num_perm, needed), "band long, n long, sketch binary")
+        sorted_ = _bucketed(keys).repartition("band", "part").sortWithinPartitions("band", "part")
+        pairs = sorted_.mapInArrow(_near_in_buckets(needed), "a long, b long").distinct()
+    both = pairs.join(side("a", "p", "sp"), "a").join(side("b", "q", "sq"), "b")
     counted = both.select("p", "q", _matches("sp", "sq").alias("matches"))
     return counted.where(F.col("matches") >= needed)
 
@@ -131,7 +252,8 @@ def _numbered(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     Copies share a signature, so only distinct ones are compared.  The number is a SHA-256 of it.
     """
     rows = written(signed.withColumn("s", F.sha2(F.array_join("signature", ","), 256)), "signatures")
-    return rows, written(rows.groupBy("s").agg(F.first("signature").alias("signature")), "distinct-signatures")
+    distinct = rows.groupBy("s").agg(F.first("signature").alias("signature")).withColumn("n", F.monotonically_increasing_id())
+    return rows, written(distinct, "distinct-signatures")
 
 
 def similar_pairs(texts: DataFrame, key: str, order: str, text: str, *, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, ngram_size: int = NGRAM_SIZE, seed: int = 42) -> DataFrame:

@@ -115,3 +115,18 @@ def test_registered_queries_have_the_slots_and_threshold_of_the_reference(spark,
     assert len(signed) == 4 and {r["count"] for r in signed} == {128}
     got = sorted(catalog.QUERIES["near_dup_groups"](spark, str(tmp_path)).collect())
     assert got == sorted(catalog.near_dup_groups(spark, str(tmp_path), 128, 0.8).collect())
+
+
+def test_pairs_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Buckets that are cut into blocks, and runs of them that are longer than a batch."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(3)
+    base = "the quick brown fox jumps over the lazy dog and runs away"
+    texts = [base[: rng.randint(40, 57)] + rng.choice(["", " a", " bc"]) + str(i % 40) for i in range(90)] + ["zz" * i for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    hasher = MinHasher(64)
+    signed = hasher.many(texts)
+    for t in (0.5, 0.9):
+        got = {(r.a, r.b): r.matches for r in minhash.similar_pairs(df, "k", "k", "t", threshold=t, num_perm=64).collect()}
+        equal = {(i, j): int((signed[i] == signed[j]).sum()) for i in range(99) for j in range(i + 1, 99)}
+        assert got == {p: m for p, m in equal.items() if m / 64 >= t}
