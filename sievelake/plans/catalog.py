@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.hashing import content_sha256
 from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, hash_family, ngram_rows, token_hash_column
 from sievelake.operators import inventory, minhash, reports
+from sievelake.storage import spread
 
 SLOTS, SIMILAR = minhash.NUM_PERM, minhash.THRESHOLD
 EARLIER = {"extensions": ("de", "en"), "max_file_size": 4000}
@@ -30,7 +31,7 @@ def _listed(files: DataFrame) -> DataFrame:
 
 
 def near_dup_groups(spark: SparkSession, sf_dir: str, num_perm: int = minhash.NUM_PERM, threshold: float = minhash.THRESHOLD) -> DataFrame:
-    return minhash.near_duplicate_groups(_docs(spark, sf_dir), "doc_id", "text", num_perm=num_perm, threshold=threshold)
+    return minhash.near_duplicate_groups(spread(_docs(spark, sf_dir)), "doc_id", "text", num_perm=num_perm, threshold=threshold)
 
 
 def _groups(files: DataFrame) -> DataFrame:
@@ -59,21 +60,21 @@ def _diff_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ngrams(s: SparkSession, d: str) -> DataFrame:
-    return ngram_rows(_docs(s, d), "doc_id", "text").groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
+    return ngram_rows(spread(_docs(s, d)), "doc_id", "text").groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
 
 
 def _token_hash(s: SparkSession, d: str) -> DataFrame:
-    grams = ngram_rows(_docs(s, d), "doc_id", "text").select("gram").distinct()
+    grams = ngram_rows(spread(_docs(s, d)), "doc_id", "text").select("gram").distinct()
     return grams.select("gram", token_hash_column(F.col("gram")).alias("h"))
 
 
 def _signature(s: SparkSession, d: str) -> DataFrame:
-    signed = minhash.signatures(_docs(s, d), "doc_id", "text", num_perm=SLOTS)
+    signed = minhash.signatures(spread(_docs(s, d)), "doc_id", "text", num_perm=SLOTS)
     return signed.select("doc_id", F.posexplode("signature").alias("slot", "value"))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return minhash.similar_pairs(_docs(s, d), "doc_id", "doc_id", "text", num_perm=SLOTS, threshold=SIMILAR)
+    return minhash.similar_pairs(spread(_docs(s, d)), "doc_id", "doc_id", "text", num_perm=SLOTS, threshold=SIMILAR)
 
 
 def _page_copies(s: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,11 @@ def _delete_rest() -> None:
     for path, spark in _open.items():
         try:
             _delete(spark, path)
-        except Exception:  # the session has ended before
-            return
+        except Exception:  # its session has ended before
+            if path.startswith("/"):
+                shutil.rmtree(path, ignore_errors=True)
+            elif path.startswith("file:"):
+                shutil.rmtree(unquote(urlsplit(path).path), ignore_errors=True)
 
 
 atexit.register(_delete_rest)
@@ -70,6 +75,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(_open.pop(path), path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out to all cores if it is too small to have a partition for half of them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() <= cores // 2 else table
+
+
 def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, a written table, marked for broadcast if its counted rows take at most ``limit`` bytes."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
