@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.storage import discard, shared_dir, sized_broadcast, written  # noqa: F401
+from sievelake.storage import discard, shared_dir, sized_broadcast, spread, written  # noqa: F401
 
 #: Stands for a missing doc_id inside an operator, so that such rows sort last and join like any other.
 #: An id that isn't a whole number counts as missing, and so does this one.
@@ -13,7 +13,7 @@ NO_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

@@ -96,13 +96,23 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTE)
     return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, mixer: np.ndarray = FOLDED_MIX) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial over 2**64."""
+def spans(data: np.ndarray, mixer: np.ndarray = FOLDED_MIX):
+    """A function of (start, end) that hashes byte spans of ``data`` to 64 bits, from prefix sums of a polynomial over 2**64."""
     up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(mixer[data] * up[: len(data)], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+    return hashed
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, mixer: np.ndarray = FOLDED_MIX) -> np.ndarray:
+    """A 64-bit hash of each byte span."""
+    return spans(data, mixer)(start, end)
 
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -83,7 +83,7 @@ SQL: dict[str, str] = {
         lines AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM cut),
         firsts AS (SELECT t, length(t) AS n, min((doc_id, place)) AS born FROM lines WHERE t <> '' GROUP BY t),
         halves AS (SELECT t, n, born, unnest([left(t, n // 2) || chr(10), chr(10) || right(t, n // 2), left(t, (n - 1) // 2) || chr(10), chr(10) || right(t, (n - 1) // 2)]) AS half
-                   FROM firsts WHERE n >= 24),
+                   FROM firsts WHERE n >= 12),
         pairs AS (SELECT DISTINCT a.t AS x, b.t AS y FROM halves a JOIN halves b USING (half) WHERE b.born < a.born AND abs(a.n - b.n) <= 1),
         gone AS (SELECT DISTINCT x FROM (SELECT x, y, unnest(range(0, length(x) + 1)) AS i FROM pairs)
                  WHERE left(x, i) = left(y, i) AND (substr(x, i + 2) = substr(y, i + 2) OR substr(x, i + 1) = substr(y, i + 2) OR substr(x, i + 2) = substr(y, i + 1))),

@@ -1,26 +1,29 @@
 import random
 
+import pytest
+
 from sievelake.llm.lines import dedup_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = " \t\r\f\v"
 
 
-def within_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + (len(a) > len(b)) :] == b[i + (len(b) > len(a)) :]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
 
 
-def brute(rows, order, min_chars):
+def brute(rows, order, edits, chars):
     lines = {}  # stripped line -> place of its first occurrence
     for place in order:
         for no, line in enumerate(x for x in (s.strip(SPACES) for s in (rows[place][1] or "").split("\n")) if x):
             lines.setdefault(line, (order.index(place), no))
-    gone = {a for a in lines for b in lines if lines[b] < lines[a] and len(a) >= min_chars and len(b) >= min_chars and within_one(a, b)}
+    bound = lambda a, b: min(edits, min(len(a), len(b)) // chars)
+    gone = {a for a in lines for b in lines if lines[b] < lines[a] and abs(len(a) - len(b)) <= bound(a, b) > 0 and distance(a, b) <= bound(a, b)}
     out = []
     for at, place in enumerate(order):
         no, kept, some = -1, [], False
@@ -40,18 +43,21 @@ def edited(rng, line):
     return rng.choice([line[:i] + line[i + 1 :], line[:i] + c + line[i:], line[:i] + c + line[i + 1 :]])
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("edits,chars", [(0, 12), (1, 12), (1, 1), (2, 12), (2, 3), (3, 5)])
+def test_against_brute_force(spark, edits, chars):
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdé 漢") for _ in range(rng.choice([3, 23, 24, 25, 26, 40]))).strip(SPACES) or "x" for _ in range(60)]
+    base = ["".join(rng.choice("abcdé 漢") for _ in range(rng.choice([3, 11, 12, 13, 23, 24, 25, 26, 40]))).strip(SPACES) or "x" for _ in range(50)]
     rows = []
-    for d in range(80):
+    for d in range(60):
         lines = []
         for _ in range(rng.randint(0, 7)):
             line = rng.choice(base)
-            lines.append(rng.choice([line, line, edited(rng, line), edited(rng, edited(rng, line)), "", "  ", " " + line + "\t"]))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4])):
+                line = edited(rng, line) if line else "x"
+            lines.append(rng.choice([line, line, line, "", "  ", " " + line + "\t"]))
         rows.append((d, "\n".join(lines), "en", "s", sum(map(len, lines))))
-    got = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
-    assert sorted((r.doc_id, r.text) for r in got) == sorted(brute(rows, list(range(len(rows))), 24))
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(5), max_edits=edits, chars_per_edit=chars).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(brute(rows, list(range(len(rows))), edits, chars))
     assert all(r.n_chars == len(r.text) for r in got if r.text != rows[r.doc_id][1])
 
 
