@@ -38,13 +38,13 @@ def diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ReportSummary:
-    avg_file_size: float
-    duplicate_file_count: int
-    duplicate_group_count: int
     file_count: int
-    largest_group_size: int
     total_bytes: int
+    duplicate_group_count: int
+    duplicate_file_count: int
     unique_file_count: int
+    avg_file_size: float
+    largest_group_size: int
 
     def to_json(self) -> dict:
         return asdict(self) | {"avg_file_size": round(self.avg_file_size, 2)}
@@ -52,11 +52,11 @@ class ReportSummary:
 
 @dataclass(frozen=True)
 class DiffResult:
-    unchanged_duplicate_groups: list[list[str]]
-    removed_files: int
-    removed_duplicate_groups: list[list[str]]
     added_files: int
+    removed_files: int
     added_duplicate_groups: list[list[str]]
+    removed_duplicate_groups: list[list[str]]
+    unchanged_duplicate_groups: list[list[str]]
 
     def to_json(self) -> dict:
         return asdict(self)
@@ -76,4 +76,4 @@ def diff_scans(old_data: dict, new_data: dict) -> DiffResult:
     old, new = ({"|".join(sorted(g)): g for g in scan["duplicates"]} for scan in (old_data, new_data))
     pick = lambda groups, keys: [groups[k] for k in sorted(keys)]
     before, after = (scan["file_count"] for scan in (old_data, new_data))
-    return DiffResult(pick(old, old.keys() & new.keys()), max(0, before - after), pick(old, old.keys() - new.keys()), after - before, pick(new, new.keys() - old.keys()))
+    return DiffResult(after - before, max(0, before - after), pick(new, new.keys() - old.keys()), pick(old, old.keys() - new.keys()), pick(old, old.keys() & new.keys()))

@@ -30,8 +30,8 @@ def extension(path: Path) -> str:
 
 
 class _Files(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, names: list[bytes]):
+        self.names = names  # as the file system has them; they needn't be UTF-8
 
 
 class FileTreeReader(DataSourceReader):
@@ -44,12 +44,12 @@ class FileTreeReader(DataSourceReader):
         self.extensions = set(json.loads(options["extensions"])) if "extensions" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        names = [os.fsencode(p.relative_to(self.root)).decode("utf-8", "replace") for p in list_files(self.root)]
+        names = [os.fsencode(p.relative_to(self.root)) for p in list_files(self.root)]
         return [_Files(names[i : i + self.chunk]) for i in range(0, len(names), self.chunk)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for name in partition.names:
-            path = self.root / name
+            path = self.root / os.fsdecode(name)
             link, ext = path.is_symlink(), extension(path)
             size = digest = None
             if link and not self.follow:
@@ -64,7 +64,7 @@ class FileTreeReader(DataSourceReader):
                         digest = sha256_file(path)
                 except OSError:
                     status = "error"
-            yield name, ext, size, link, digest, status
+            yield name.decode("utf-8", "replace"), ext.encode("utf-8", "replace").decode(), size, link, digest, status
 
 
 class FileTree(DataSource):

@@ -1,11 +1,14 @@
 import io
+import json
+import logging
 import os
 import subprocess
 import sys
 
 import pytest
+from pyspark.errors import PySparkException
 
-from sievelake import scan
+from sievelake import DiffResult, ReportSummary, ScanResult, scan, scanning
 from sievelake.operators import inventory, reports
 from sievelake.scanning import ScanMetadata, progress_bar
 from sievelake.sources.file_tree import FileTreeReader, list_files, read_tree
@@ -69,7 +72,7 @@ def test_roots_and_limits(spark, tmp_path):
         scan(root=tmp_path, max_file_size=-1, spark=spark)
     (tmp_path / "f").unlink()
     assert scan(root=tmp_path, spark=spark).to_json()["duplicates"] == []
-    assert ScanMetadata("t", "/", "1", 0, ("a",)).to_json() == {"tool_version": "1", "scanned_root": "/", "timestamp": "t", "extensions_filter": ["a"], "max_file_size": 0}
+    assert ScanMetadata("1", "/", "t", ("a",), 0).to_json() == {"tool_version": "1", "scanned_root": "/", "timestamp": "t", "extensions_filter": ["a"], "max_file_size": 0}
 
 
 def test_progress_bar():
@@ -111,3 +114,52 @@ def test_reports_as_tables_equal_those_of_dictionaries(spark):
 def test_module_runs():
     out = subprocess.run([sys.executable, "-m", "sievelake", "--version"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)))
     assert out.returncode == 0 and out.stdout.startswith("sievelake ")
+
+
+def test_results_by_position():
+    assert ScanResult(3, 9, [["a", "b"]], 1, 2, 4).to_json() == {"file_count": 3, "total_bytes": 9, "duplicates": [["a", "b"]], "skipped_count": 1, "skipped_oversized": 2, "skipped_symlinks": 4}
+    assert ReportSummary(1, 2, 3, 4, 5, 6.0, 7).largest_group_size == 7 and DiffResult(1, 2, [["a"]], [], []).added_duplicate_groups == [["a"]]
+    with pytest.raises(TypeError):
+        ScanResult(1, 2)
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    for name in (b"\xff.txt", b"ok.txt", b"dir\xfe"):
+        if name.startswith(b"dir"):
+            os.mkdir(os.path.join(os.fsencode(tmp_path), name))
+            name += b"/in.t\xfc"
+        with open(os.path.join(os.fsencode(tmp_path), name), "wb") as file:
+            file.write(b"same")
+    found = scan(root=tmp_path, spark=spark)
+    assert (found.file_count, found.skipped_count) == (3, 0) and len(found.duplicates[0]) == 3
+    json.dumps(found.to_json()).encode()
+
+
+def test_progress_is_drawn_while_the_scan_runs(spark, tmp_path, capsys):
+    for i in range(40):
+        (tmp_path / f"f{i}").write_text(str(i))
+    assert scan(root=tmp_path, spark=spark, progress=True).file_count == 40
+    shown = capsys.readouterr().err
+    assert "(0/40)" in shown and shown.rstrip(" ").endswith("100% (40/40)\n")
+
+
+def test_skips_are_logged(spark, tmp_path, caplog, monkeypatch):
+    monkeypatch.setattr(logging.getLogger("sievelake"), "propagate", True)
+    (tmp_path / "small").write_text("a")
+    (tmp_path / "large").write_text("a" * 50)
+    os.symlink(tmp_path / "small", tmp_path / "link")
+    with caplog.at_level(logging.DEBUG, logger="sievelake"):
+        scan(root=tmp_path, spark=spark, max_file_size=10, follow_symlinks=False)
+    text = caplog.text
+    assert "large (50 bytes) is above the size limit" in text and "link is a link" in text and "1 files above the size limit were skipped" in text and "1 links were skipped" in text
+
+
+def test_a_listing_that_is_refused(spark, tmp_path, monkeypatch, caplog):
+    def refused(*_, **__):
+        raise PySparkException("worker: PermissionError: [Errno 13] Permission denied")
+
+    monkeypatch.setattr(logging.getLogger("sievelake"), "propagate", True)
+    monkeypatch.setattr(scanning, "read_tree", refused)
+    with pytest.raises(PermissionError):
+        scan(root=tmp_path, spark=spark)
+    assert "can't be listed" in caplog.text
