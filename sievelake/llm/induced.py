@@ -5,9 +5,10 @@ others is induced in two scans, larger-first suffixes by ascending and smaller-f
 descending first symbol (Bingmann, Fischer and Osipov, 2013).  A scan takes its tuples (symbol, rank
 of the following suffix, position, common prefix of that suffix and the one of the tuple before) from
 a disk-backed queue that is cut into blocks of symbols.  A block is loaded, closed under predecessors
-that belong to the same block, ordered, and its other predecessors are pushed to later blocks; so
-memory holds the text and one block, and a block is as large as ``block_items`` or the share of a
-single symbol.  Within a block, a tuple's order depends on a chain of followers; chains are resolved
+that belong to the same block, ordered, and its other predecessors are pushed to later blocks.  A
+block is as large as ``block_items`` or the share of a single symbol.  What the recursion orders goes
+through such a queue, too.  So memory holds the text, the type of each suffix, the places of the local
+minima, one block and ``held_items`` rows of each queue; no order of all suffixes.  Within a block, a tuple's order depends on a chain of followers; chains are resolved
 by pointer doubling.
 
 Neighbours with the same first symbol share one symbol more than the suffixes that follow them, and
@@ -25,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow.fs as pafs
 
-BLOCK_ITEMS = 1 << 18
-HELD_ITEMS = 1 << 21
+#: Suffixes of a block, and rows of a queue that are held before they are written: 4 MB of tuples.
+BLOCK_ITEMS = 1 << 17
+HELD_ITEMS = 1 << 17
 IN_MEMORY = 1 << 15
 
 _serial = itertools.count()
@@ -50,11 +52,14 @@ class Scratch:
             out.write(np.ascontiguousarray(rows).tobytes())
         return path
 
-    def read(self, path: str, width: int) -> np.ndarray:
+    def read(self, path: str, width: int, lo: int, hi: int) -> np.ndarray:
+        """Rows lo to hi of a run."""
         with self.fs.open_input_file(path) as file:
-            rows = np.frombuffer(file.read(), dtype=np.int64).reshape(-1, width)
+            file.seek(lo * width * 8)
+            return np.frombuffer(file.read((hi - lo) * width * 8), dtype=np.int64).reshape(-1, width)
+
+    def delete(self, path: str) -> None:
         self.fs.delete_file(path)
-        return rows
 
     def close(self) -> None:
         if self.made:
@@ -63,12 +68,14 @@ class Scratch:
 
 
 class DiskQueue:
-    """Rows of int64 for numbered blocks; once ``held_items`` are in memory they are written as runs."""
+    """Rows of int64 for numbered blocks; once more than ``held_items`` are in memory, they are written
+    as one run, sorted by block.  A run is deleted when all its blocks have been popped."""
 
     def __init__(self, scratch: Scratch, width: int, held_items: int):
         self.scratch, self.width, self.limit = scratch, width, held_items
         self.held: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.runs: dict[int, list[str]] = defaultdict(list)
+        self.runs: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
+        self.unread: dict[str, int] = {}
         self.items = 0
 
     def push(self, block: np.ndarray, *columns: np.ndarray) -> None:
@@ -81,14 +88,27 @@ class DiskQueue:
             self.held[int(block[lo])].append(rows[lo:hi])
         self.items += len(block)
         if self.items > self.limit:
-            for b, parts in self.held.items():
-                self.runs[b].append(self.scratch.write(np.concatenate(parts)))
-            self.held.clear()
-            self.items = 0
+            self._spill()
+
+    def _spill(self) -> None:
+        path = self.scratch.write(np.concatenate([part for b in sorted(self.held) for part in self.held[b]]))
+        self.unread[path], at = len(self.held), 0
+        for b in sorted(self.held):
+            size = sum(map(len, self.held[b]))
+            self.runs[b].append((path, at, at + size))
+            at += size
+        self.held.clear()
+        self.items = 0
 
     def pop(self, block: int) -> np.ndarray:
         """All rows of a block, in the order in which they were pushed."""
-        parts = [self.scratch.read(p, self.width) for p in self.runs.pop(block, [])]
+        parts = []
+        for path, lo, hi in self.runs.pop(block, []):
+            parts.append(self.scratch.read(path, self.width, lo, hi))
+            self.unread[path] -= 1
+            if not self.unread[path]:
+                self.scratch.delete(path)
+                del self.unread[path]
         held = self.held.pop(block, [])
         self.items -= sum(map(len, held))
         return np.concatenate([*parts, *held]) if parts or held else np.zeros((0, self.width), np.int64)
@@ -205,22 +225,16 @@ def suffix_blocks(text: np.ndarray, scratch: Scratch, *, bound: int = 50, block_
     small = _smaller_first(text)
     minima = np.flatnonzero(small & ~np.r_[True, small[:-1]])
     names = _named(text, small, minima)
-    if len(minima) and names.max() < len(minima) - 1:
-        parts = list(suffix_blocks(names, scratch, bound=bound, block_items=block_items, held_items=held_items, in_memory=in_memory))[::-1]
-        order, shared = (np.concatenate(c) for c in zip(*parts))
-        past = np.r_[minima, n][order + np.minimum(shared, len(minima) - order)]
-        order, shared = minima[order], past - minima[order]
-    else:
-        order, shared = np.empty_like(minima), np.zeros(len(minima), np.int64)
-        order[names] = minima
-    if len(order):
-        shared = np.r_[0, _compared(text, order[:-1], order[1:], shared[1:], bound)]
     block_of = _blocks(np.bincount(text), block_items)
     blocks = int(block_of[-1]) + 1
-    edge = np.searchsorted(block_of[text[order]], np.arange(blocks + 1))
+    sorted_minima = DiskQueue(scratch, 2, held_items)
+    options = {"bound": bound, "block_items": block_items, "held_items": held_items, "in_memory": in_memory}
+    for at, common in _with_neighbours(text, _minima_down(n, minima, names, scratch, options), bound):
+        sorted_minima.push(block_of[text[at]][::-1], at[::-1], common[::-1])
+    del names, minima
     kept = DiskQueue(scratch, 2, held_items)
     first = (block_of[text[n - 1 :]], text[n - 1 :], np.array([-1]), np.array([n - 1]), np.array([0]))
-    seeds = lambda b: (order[edge[b] : edge[b + 1]], shared[edge[b] : edge[b + 1]])
+    seeds = lambda b: tuple(sorted_minima.pop(b)[::-1].T)
     for b, at, common in _scanned(text, ~small, block_of, range(blocks), seeds, DiskQueue(scratch, 4, held_items), first, bound):
         larger = np.flatnonzero(~small[at])
         kept.push(np.full(len(larger), b), at[larger], common[larger])
@@ -233,6 +247,35 @@ def suffix_blocks(text: np.ndarray, scratch: Scratch, *, bound: int = 50, block_
         yield at[::-1], np.r_[0, common[1:][::-1]][: len(at)]
 
 
+def _minima_down(n: int, minima: np.ndarray, names: np.ndarray, scratch: Scratch, options: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The local minima in the order of their suffixes, in parts from the last to the first, and how many
+    symbols each is known to share with the one before it in its part."""
+    if not len(minima):
+        return
+    if names.max() == len(minima) - 1:
+        order = np.empty_like(minima)
+        order[names] = minima
+        yield order, np.zeros(len(order), np.int64)
+        return
+    ends = np.r_[minima, n]
+    for order, shared in suffix_blocks(names, scratch, **options):
+        yield minima[order], ends[order + np.minimum(shared, len(minima) - order)] - minima[order]
+
+
+def _with_neighbours(text: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``parts`` with the common prefix of each position with the one before, also across parts."""
+    later = None
+    for part in itertools.chain(parts, [None]):
+        if later is not None:
+            at, known = later
+            before = np.r_[at[:1] if part is None else part[0][-1:], at[:-1]]
+            common = _compared(text, before, at, np.r_[0, known[1:]], bound)
+            if part is None:
+                common[0] = 0
+            yield at, common
+        later = part
+
+
 def _scanned(text, wanted, block_of, sequence, seeds, queue: DiskQueue, first, bound: int):
     """One scan: (block, positions, common prefixes with the position before), as the scan meets them.
 
@@ -316,9 +359,9 @@ def _ordered(symbol, kind, second, follower) -> np.ndarray:
     return done
 
 
-def common_runs(order: np.ndarray, common: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+def common_runs(common: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     """Group number of each position of a block: neighbours share it whose first ``length`` symbols are
     equal; -1 where fewer than ``length`` symbols remain (``room``)."""
-    able = room[order] >= length
-    same = np.r_[False, (common[1:] >= length) & able[1:] & able[:-1]][: len(order)]
+    able = room >= length
+    same = np.r_[False, (common[1:] >= length) & able[1:] & able[:-1]][: len(common)]
     return np.where(able, np.cumsum(~same), -1)

@@ -6,10 +6,12 @@ gives, for each document, the maximal ranges of words that repeated windows cove
 1. Each window elects an anchor, its leftmost smallest hash of ``gram`` words (winnowing), so equal
    windows elect equal anchors at equal places, and an anchor with its context of all windows that
    may elect it decides about these windows alone.  Anchors found in one document only are dropped.
-2. Contexts are sharded by anchor.  Equal contexts are represented by one, with the smallest and
+2. Contexts are sharded by anchor, about ``shard_words`` words to a shard.  Equal contexts are represented by one, with the smallest and
    largest document that has it.  Each shard's contexts are concatenated and their suffixes ordered
    by external induced sorting (:mod:`.induced`), whose queues spill to the shared folder and carry
    common prefixes; neighbours that share ``min_words`` words are repeated if their documents differ.
+   An anchor with more than ``shard_words`` words of different contexts would fill a task by itself; the
+   windows of its contexts are hashed and grouped instead, with partial aggregates before the shuffle.
 3. The ranges are brought back to all holders of a context and merged.
 
 Only step 1 sees all words; it is one narrow pass that leaves about one anchor in 18 words.
@@ -87,7 +89,7 @@ def _anchor_rows(min_words: int, gram: int):
 
 def _context_words(batches):
     """Word hashes of the listed contexts of each document."""
-    names = ["fp", "ctx", "lo", "hi", "words"]
+    names = ["fp", "ctx", "lo", "hi", "crowded", "words"]
     for batch in batches:
         data, off = buffers(batch.column("text"))
         wanted = batch.column("wanted")
@@ -100,7 +102,7 @@ def _context_words(batches):
             begin, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "size"))
             bound = np.r_[0, np.cumsum(size)]
             at = np.arange(bound[-1]) - np.repeat(bound[:-1] - begin - edge[of], size)
-            out = [*(flat.field(c) for c in ("fp", "ctx", "lo", "hi")), pa.ListArray.from_arrays(bound.astype(np.int32), hashes[at])]
+            out = [*(flat.field(c) for c in names[:-1]), pa.ListArray.from_arrays(bound.astype(np.int32), hashes[at])]
             yield pa.RecordBatch.from_arrays(out, names)
 
 
@@ -119,30 +121,61 @@ def _shard_rows(min_words: int, shared: str, block_items: int, held_items: int):
         inside = np.ones(len(text), bool)
         inside[end - 1] = False
         text[inside] = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1] + 1
-        context = np.repeat(np.arange(len(size)), size + 1)
-        room = end[context] - 1 - np.arange(len(text))
+        del inside, lists
         scratch, hits = Scratch(shared, f"sievelake/suffixes-{uuid.uuid4().hex}"), [np.zeros(0, np.int64)]
         try:
             for order, common in suffix_blocks(text, scratch, bound=min_words, block_items=block_items, held_items=held_items):
-                group = common_runs(order, common, room, min_words)
-                order, group = order[group >= 0], group[group >= 0]
+                context = np.searchsorted(end, order, side="right")
+                group = common_runs(common, end[context] - 1 - order, min_words)
+                order, context, group = (c[group >= 0] for c in (order, context, group))
                 if len(order):
                     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                    least, most = np.minimum.reduceat(lo[context[order]], at), np.maximum.reduceat(hi[context[order]], at)
+                    least, most = np.minimum.reduceat(lo[context], at), np.maximum.reduceat(hi[context], at)
                     hits.append(order[np.repeat(least != most, np.diff(np.r_[at, len(order)]))])
         finally:
             scratch.close()
         hit = np.sort(np.concatenate(hits))
+        context = np.searchsorted(end, hit, side="right")
         # windows of one context that overlap or touch make one range
-        new = np.r_[True, (np.diff(hit) > min_words) | (context[hit[1:]] != context[hit[:-1]])][: len(hit)]
+        new = np.r_[True, (np.diff(hit) > min_words) | (context[1:] != context[:-1])][: len(hit)]
         first, last = hit[new], hit[np.r_[new[1:], True][: len(hit)]]
-        of = context[first]
+        of = np.searchsorted(end, first, side="right")
         cols = [table.column("fp").to_numpy()[of], table.column("ctx").to_numpy()[of], (first - begin[of]).astype(np.int32), (last - begin[of] + min_words).astype(np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "ctx", "a", "b"])
 
     return run
 
 
+def _window_rows(min_words: int):
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            hashes, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            count = np.maximum(size - min_words + 1, 0)
+            of = np.repeat(np.arange(len(size)), count)
+            a = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            begin = (np.cumsum(size) - size)[of] + a
+            up, down = _powers(len(hashes) + 1)
+            with np.errstate(over="ignore"):
+                total = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])]
+                window = mix64((total[begin + min_words] - total[begin]) * down[begin])
+            of = pa.array(of)
+            cols = [*(batch.column(c).take(of) for c in ("fp", "ctx", "lo", "hi")), pa.array(window.view(np.int64)), pa.array(a.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["fp", "ctx", "lo", "hi", "window", "a"])
+
+    return run
+
+
+def _crowded_ranges(once: DataFrame, min_words: int) -> DataFrame:
+    """(fp, ctx, a, b) as of a shard; all windows of a context have its anchor, so those that are repeated make one range."""
+    windows = written(once.mapInArrow(_window_rows(min_words), "fp long, ctx long, lo long, hi long, window long, a int"), "windows")
+    repeated = written(windows.groupBy("fp", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("fp", "window"), "repeated-windows")
+    found = windows.join(sized_broadcast(repeated, 48), ["fp", "window"]).groupBy("fp", "ctx").agg(F.min("a").alias("a"), (F.max("a") + min_words).cast("int").alias("b"))
+    out = written(found, "crowded-ranges")
+    discard(windows, repeated)
+    return out
+
+
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, block_items: int = BLOCK_ITEMS, held_items: int = HELD_ITEMS) -> DataFrame:
     """(doc_id, start, words): maximal ranges covered by windows of ``min_words`` words that another document has."""
     if not 1 <= gram <= min_words < 1000:
@@ -158,13 +191,16 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int
     context = held.groupBy("fp", "ctx", "size").agg(F.min(F.struct("d", "start")).alias("rep"), F.max("d").alias("hi")).withColumn("lo", F.col("rep.d"))
     several = context.groupBy("fp").agg(F.count("*").alias("contexts"))
     context = written(context.join(several, "fp"), "contexts")
-    wanted = context.where("contexts > 1").groupBy(F.col("rep.d").alias("d")).agg(F.collect_list(F.struct("fp", "ctx", "lo", "hi", "rep.start", "size")).alias("wanted"))
+    crowded = F.col("contexts") * (2 * min_words - gram) > shard_words
+    wanted = context.where("contexts > 1").groupBy(F.col("rep.d").alias("d")).agg(F.collect_list(F.struct("fp", "ctx", "lo", "hi", crowded.alias("crowded"), "rep.start", "size")).alias("wanted"))
     wanted = written(wanted, "wanted-contexts")
-    once = keyed.join(sized_broadcast(wanted, 400), "d").mapInArrow(_context_words, "fp long, ctx long, lo long, hi long, words array<long>")
-    once = written(once, "context-words")
-    total = once.count() * (2 * min_words - gram)
-    shards = once.repartition(max(1, -(-total // shard_words)), "fp")
+    kind = "fp long, ctx long, lo long, hi long, crowded boolean, words array<long>"
+    once = written(keyed.join(sized_broadcast(wanted, 400), "d").mapInArrow(_context_words, kind), "context-words")
+    sizes = {r.crowded: r["count"] for r in once.groupBy("crowded").count().collect()}
+    shards = once.where("not crowded").drop("crowded").repartition(max(1, -(-sizes.get(False, 0) * (2 * min_words - gram) // shard_words)), "fp")
     ranges = shards.mapInArrow(_shard_rows(min_words, shared_dir(spark), block_items, held_items), "fp long, ctx long, a int, b int")
+    if sizes.get(True):
+        ranges = ranges.union(_crowded_ranges(once.where("crowded"), min_words))
     alone = context.where(f"contexts = 1 and size >= {min_words}").select("fp", "ctx", F.lit(0).alias("a"), F.col("size").alias("b"))
     ranges = written(ranges.union(alone), "context-ranges")
     discard(context, wanted, once)

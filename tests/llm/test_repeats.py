@@ -59,6 +59,13 @@ def test_against_brute_force(spark, seed, vocabulary):
     assert sorted(((r.doc_id, r.start, r.words) for r in got.collect()), key=str) == brute(rows, 12)
 
 
+@pytest.mark.parametrize("shard_words", [1, 400])
+def test_crowded_anchors(spark, shard_words):
+    rows = corpus(4, 50, 20)
+    got = repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4), min_words=12, gram=5, shard_words=shard_words)
+    assert sorted(((r.doc_id, r.start, r.words) for r in got.collect()), key=str) == brute(rows, 12)
+
+
 def test_defined_cases(spark):
     rng = random.Random(9)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(51))
