@@ -81,6 +81,6 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() <= cores // 2 else table
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its counted rows take at most ``limit`` bytes."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its counted rows take at most BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
