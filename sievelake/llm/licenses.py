@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, whole_id
 from .kernels import buffers, slices, span_hashes, words
 
 UNBOUNDED = (1 << 31) - 1
@@ -294,5 +294,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             cols = [ids.take(pa.array(rows, pa.int64())), pa.array([scanner.automaton.names[x] for x in t], pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "license", "start", "words"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(whole_id().alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return texts.mapInArrow(run, "doc_id long, license string, start long, words long")

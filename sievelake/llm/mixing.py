@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, written
+from .common import discard, fresh, whole_id, written
 from .kernels import buffers, slices, span_hashes, words
 
 #: Shares of all words that each language should have.
@@ -86,10 +86,10 @@ class Rates:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], *, domain: str = "lang", max_labels: int = MAX_LABELS, evidence: float = EVIDENCE) -> DomainModel:
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct()
+    ids = labels.select(whole_id().alias("id")).where("id is not null").distinct()
     sample = ids.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     index = {d: i for i, d in enumerate(domains)}
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"), F.col(domain).cast("string").alias("domain"))
+    rows = docs.select(whole_id().alias("id"), F.col("text").cast("string").alias("text"), F.col(domain).cast("string").alias("domain"))
     rows = rows.where(F.col("text").isNotNull() & F.col("domain").isin(domains)).join(F.broadcast(sample), "id").select("text", "domain")
 
     def counts(batches):
@@ -167,7 +167,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     domains, weights = _checked(targets)
     model = fit_domains(docs, labels, domains, domain=domain, **fit)
     text = F.col("text").cast("string")
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), _posterior(model, text).alias("s")).select("doc_id", "h", "s.*")
+    scored = docs.select(whole_id().alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), _posterior(model, text).alias("s")).select("doc_id", "h", "s.*")
     table = written(scored, "posteriors")
     rates, *_ = fit_rates(table, weights, total_words=total_words, min_rate=min_rate)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_id, written
 
 CAPACITY = 2048
 SALTS = 64
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, salts: int = SALTS) -> Da
     if not 1 <= capacity < 1 << 20:
         raise ValueError("capacity must be between 1 and 2**20 - 1")
     text = F.col("text").cast("string")
-    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), word_count(text).alias("words")).where("words > 0")
+    sized = docs.select(whole_id().alias("doc_id"), F.xxhash64(text).alias("h"), word_count(text).alias("words")).where("words > 0")
     pieces = sized.select("doc_id", "h", "words", F.explode(F.sequence(F.lit(0), F.expr(f"(words - 1) div {capacity}"))).alias("k"))
     start = F.col("k").cast("bigint") * capacity
     items = written(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh, sized_broadcast, written
+from .common import bounded_batches, discard, fresh, sized_broadcast, whole_id, written
 from .kernels import buffers, row_bounds, shingles, slices, span_hashes, words
 
 FEATURES = 256
@@ -191,9 +191,9 @@ def _summed(df: DataFrame, per_partition, width: int, rows: int) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge: float = RIDGE, max_labels: int = MAX_LABELS, seed: int = 11) -> QualityModel | None:
     """Fit on the labelled documents; ``max_labels`` bounds the labelled sample (lowest hashes of doc_id)."""
     bounded_batches(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    usable = labels.select(whole_id().alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sample = written(usable.orderBy(F.xxhash64("id"), "id", "label").limit(max_labels), "labels")
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sized_broadcast(sample, 40), "id")
+    joined = docs.select(whole_id().alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sized_broadcast(sample, 40), "id")
     seen = written(joined.select("label", (F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(5)) == 0).alias("held"), _stats_udf()("text").alias("stats")), "quality-labelled")
     d = len(STATISTICS)
     discard(sample)
@@ -252,7 +252,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     """(doc_id, score, probability, keep) for every row of ``docs``."""
     model = fit_quality(docs, labels, **fit)
     text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _blank(text).alias("blank"), _scored(F.coalesce(text, F.lit("")), model).alias("s"))
+    found = docs.select(whole_id().alias("doc_id"), _blank(text).alias("blank"), _scored(F.coalesce(text, F.lit("")), model).alias("s"))
     value = lambda c: F.when(~F.col("blank"), F.col(f"s.{c}"))
     return found.select("doc_id", value("score").alias("score"), value("probability").alias("probability"), (~F.col("blank") & F.coalesce(F.col("s.probability") >= threshold, F.lit(True))).alias("keep"))
 

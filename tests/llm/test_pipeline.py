@@ -77,3 +77,35 @@ def test_run_equals_its_stages(spark, data):
     out = corpus_pipeline.run(spark, root)
     assert out.columns == ["doc_id", "start", "length", "sequence", "offset"] and out.count() > 0
     assert [type(n) for n, _ in corpus_pipeline.STAGES] == [str] * 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_defined_cases(spark, data, tmp_path):
+    root, rows = data
+    extra = ["map('a', text) as stats", "1 as __id", "2 as `KEEP`", "3 as node"]
+    long = (500, " ".join(f"the w{i} of" for i in range(60_000)), "en", "s", 1)
+    docs = spark.createDataFrame([*rows, long, long, rows[1]], SCHEMA).selectExpr("*", *extra)
+    for given in (docs, docs.where("false"), docs.where("text is null or text = ''"), docs.where("doc_id = 500")):
+        out = given
+        for name, stage in corpus_pipeline.STAGES:
+            whole, out = out, stage(spark, out, root)
+            if stage is not corpus_pipeline.pack_sequences:
+                assert out.schema.names == docs.schema.names
+                path = str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}")
+                out.write.parquet(path)
+                out = spark.read.parquet(path)
+        packed = {r.doc_id for r in out.collect()}
+        assert packed == {r.doc_id for r in whole.select("doc_id", "text").collect() if (r.text or "").split()}
+
+
+def test_null_and_empty_texts_of_single_stages(spark, data):
+    root, _ = data
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, " \n ", "en", "s", 3)], SCHEMA)
+    left = {name: stage(spark, docs, root).count() for name, stage in corpus_pipeline.STAGES}
+    assert left == {"quality": 0, "line_dedup": 3, "near_dedup": 3, "mixing": 3, "packing": 0}
+
+
+def test_tables_between_stages_are_deleted(spark, data):
+    from sievelake import storage
+
+    corpus_pipeline.run(spark, data[0]).collect()
+    assert sum("pipeline-" in path for path in storage._open) <= 2  # what packing reads, of this run and the one above
