@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 _count = itertools.count()
 
+#: Removes a query's shuffle files when it has ended, in place of some time after the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes up to which a table whose rows were counted is broadcast; beyond it, both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -57,12 +60,17 @@ atexit.register(_delete_rest)
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The table is deleted by :func:`discard`, or when the driver ends.
+    The table is deleted by :func:`discard`, or when the driver ends; the shuffle files that it was made of, at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelake/{name}-{next(_count)}-{uuid.uuid4().hex}"
     _open[path] = spark
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
