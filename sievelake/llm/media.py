@@ -4,28 +4,29 @@ Corners are found on three scales by the segment test (nine contiguous pixels of
 that are all brighter, or all darker, than its centre).  An image is described by every corner that is
 the strongest within ``radius`` pixels of its scale, so features are spread over it, their number grows
 with its area, and a crop keeps those that it shows.  Each is turned to its intensity centroid and
-described by 128 comparisons of smoothed pixels (Rublee et al., 2011).  Descriptors meet in four tables
-of 32 bits, so those that differ in up to three bits always do.  Pairs of images that meet in
-``min_buckets`` (two at least), and in a tenth as many as the smaller image has features (a feature is in
-four), are compared descriptor by descriptor, and a similarity transform is voted for:
-images are copies if one transform, proposed by a match or by two, carries at least ``min_inliers``
-matches and ``MIN_SHARE`` of the features of the image that has fewer.
-That stands cropping, scaling, turning and local edits.
-
-Classes are the connected components of the copies.  In a bucket every image is first compared with
-one leader; images that this doesn't connect are then compared with each other, so the classes are
-those of all pairs that meet often enough, while thousands of copies need no square of comparisons.  A bucket
-of more than SPLIT images that stays open (a logo, say) is split by each further open bucket of its images:
-as copies meet twice, nothing is lost, and images that have only the logo's one corner in common never form pairs.
-
-Scale: images stay where they are read; a table row is 16 bytes, a feature 22 bytes, and only pairs
-that meet often are verified.  Large images are described strip by strip.
+described by 128 comparisons of smoothed pixels (Rublee et al., 2011).  Descriptors meet in seven tables
+of 18 or 19 bits, so those that differ in up to six bits always do, and those that differ in MAX_BITS with
+probability 0.46; what meets is compared bit by bit.  Pairs of images of which one feature in five of those
+that a copy needs has met another within MAX_BITS (one, for most) are compared descriptor by descriptor, and
+a similarity transform is voted for: images are copies if one transform, proposed by a match or by two, carries
+at least ``min_inliers`` matches and ``MIN_SHARE`` of the features of the image that has fewer.
+That stands cropping, scaling, turning and local edits.  A copy whose five features all differ in
+MAX_BITS bits is found with probability 0.95, a closer or larger one with more.
+
+Every pair is verified, also of images that others connect already, so ``links`` is complete; classes are the
+connected components of the links.
+
+Scale: images are dealt to blocks of up to SPLIT, and each pair of blocks is one task, which reads both from
+the shared folder, counts what meets in a table of all its pairs of images, and returns links only.  So a
+descriptor that all images have (a logo) costs no rows, and nothing but links is shuffled; but the number of tasks
+grows with the square of the images.
+Images stay where they are read; a feature is 22 bytes.  Large images are described strip by strip.
 
 Defined results
 * media are PGM, PPM (8 bits) or PNG (8 bits, not interlaced) of up to MAX_PIXELS; null, undecodable,
   larger, tiny or flat images have no corners; null and undecodable ones are in no class, flat ones match equal pixels;
 * images with equal pixels are one picture, and in one class; ``links`` counts the other pictures that
-  were found to be copies of this one by comparison, so it is 0 for images that only have equal ones;
+  are copies of this one by comparison, so it is 0 for images that only have equal ones;
 * an image without any copy has no row; null ids (and ids that are no numbers) come out as null and are
   larger than all others; repeated rows (id and pixels) count once;
 * an empty table gives no rows; other columns are not read.
@@ -38,6 +39,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -45,14 +48,13 @@ from pyspark.sql.types import BinaryType
 from sievelake.operators.components import connected_components
 
 from .common import bounded_batches, discard, id_or_last, null_id, written
-from .kernels import buffers, mix64, row_bounds, sorted_leaders, slices, span_hashes, words
+from .kernels import buffers, mix64, row_bounds, slices, span_hashes, words
 
 RADIUS = 8
 CONTRAST = 20
 MAX_BITS = 16
-MIN_BUCKETS = 2
-#: Buckets in which a pair must meet, as a share of the features of the image that has fewer (each is in four buckets).
-MEET_SHARE = 0.1
+#: Features of a pair that must be seen to meet, as a share of those that a copy needs; one at least.
+SEEN = 0.2
 MIN_INLIERS = 5
 MIN_SHARE = 0.15
 TOLERANCE = 3.0
@@ -60,7 +62,11 @@ TOLERANCE = 3.0
 ROUNDED = 0.25
 STACK_PIXELS = 1 << 20
 MAX_PIXELS = 1 << 26
-SPLIT = 256
+#: Images of a block, and bytes of their features.
+SPLIT = 1536
+BLOCK_BYTES = 8 << 20
+#: Pairs of features that are compared at once.
+_AT_ONCE = 1 << 20
 
 _CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _BORDER = 14
@@ -357,86 +363,140 @@ def _described_rows(radius: int, contrast: int):
 _PIXEL_MIX = np.random.default_rng(8).integers(1, 2**63 - 1, 256, dtype=np.uint64)
 
 
-def _table_keys(batches):
-    """(key, node) for the four tables; a key holds the table's number and 32 bits."""
-    for batch in batches:
-        nodes, keys = [], []
-        for i, blob in zip(batch.column("node").to_pylist(), batch.column("features").to_pylist()):
-            bits = np.frombuffer(blob, _FEATURE)["bits"]
-            cut = np.unique(np.ascontiguousarray(bits).view("<u4").reshape(-1, 4).astype(np.int64) + (np.arange(4) << 32))
-            keys.append(cut)
-            nodes.append(np.full(len(cut), i))
-        none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, none])), pa.array(np.concatenate([*nodes, none]))], ["key", "node"])
-
-
-def _inliers(min_inliers: int):
-    @F.arrow_udf("int")
-    def inliers(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            x, y = np.frombuffer(x, _FEATURE), np.frombuffer(y, _FEATURE)
-            enough = max(min_inliers, int(np.ceil(MIN_SHARE * min(len(x), len(y)))))
-            n = consensus(x, y, enough=enough)
-            out.append(n if n >= enough else 0)
-        return pa.array(out, pa.int32())
-
-    return inliers
-
-
-def _crossed(open_: DataFrame) -> DataFrame:
-    """(a, b, count): pairs of different components, and in how many of the open buckets (key, node, c) they meet; twice at least."""
-    pairs = lambda t: t.alias("x").join(t.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = written(open_.groupBy("key").count().where(F.col("count") > SPLIT).select("key"), "large-buckets")
-    if not large.count():
-        discard(large)
-        return pairs(open_).groupBy("a", "b").count().where("count > 1")
-    small = open_.join(large, "key", "left_anti")
-    twice = open_.join(large, "key").join(open_.select(F.col("key").alias("k"), "node"), "node").where("k != key")
-    twice = twice.select(F.xxhash64(F.least("key", "k"), F.greatest("key", "k")).alias("key"), "node", "c").distinct()
-    both = written(pairs(twice).distinct(), "twice-met")
-    one, other = open_.select(F.col("node").alias("a"), "key"), open_.select(F.col("node").alias("b"), "key")
-    exact = both.join(one, "a").join(other, ["b", "key"]).groupBy("a", "b").count()
-    return exact.union(pairs(small).join(both, ["a", "b"], "left_anti").groupBy("a", "b").count().where("count > 1"))
-
-
-def copied_images(media: DataFrame, *, radius: int = RADIUS, contrast: int = CONTRAST, min_buckets: int = MIN_BUCKETS, min_inliers: int = MIN_INLIERS) -> DataFrame:
+def _table_keys(bits: np.ndarray) -> np.ndarray:
+    """The keys of each descriptor in the seven tables: 18, 18, 18, 19, 18, 18 and 19 of its bits."""
+    low, high, mask = bits[:, 0], bits[:, 1], np.uint64((1 << 18) - 1)
+    at = lambda word, k: word >> np.uint64(k)
+    middle = at(low, 54) | (high & np.uint64(511)) << np.uint64(10)
+    return np.stack([low & mask, at(low, 18) & mask, at(low, 36) & mask, middle, at(high, 9) & mask, at(high, 27) & mask, at(high, 45)]).astype(np.uint32)
+
+
+def _met(a: np.ndarray, b: np.ndarray):
+    """(i, j, bits apart) of the descriptors that share a key and differ in up to MAX_BITS, each pair once."""
+    keys_a, keys_b = _table_keys(a), _table_keys(b)
+    for t in range(len(keys_a)):
+        order_a, order_b = np.argsort(keys_a[t], kind="stable"), np.argsort(keys_b[t], kind="stable")
+        key_a, key_b = keys_a[t][order_a], keys_b[t][order_b]
+        low_a, low_b = a[order_a, 0], b[order_b, 0]
+        start = np.searchsorted(key_b, key_a)
+        size = np.searchsorted(key_b, key_a, "right") - start
+        total, p = np.r_[0, np.cumsum(size)], 0
+        while p < len(size):
+            q = max(p + 1, int(np.searchsorted(total, total[p] + _AT_ONCE, "right")) - 1)
+            i = np.repeat(np.arange(p, q), size[p:q])
+            j = np.arange(total[p], total[q]) + np.repeat(start[p:q] - total[p:q], size[p:q])
+            apart = np.bitwise_count(low_a[i] ^ low_b[j])
+            near = np.flatnonzero(apart <= MAX_BITS)
+            i, j = order_a[i[near]], order_b[j[near]]
+            apart = apart[near] + np.bitwise_count(a[i, 1] ^ b[j, 1])
+            new = (apart <= MAX_BITS) & ~(keys_a[:t, i] == keys_b[:t, j]).any(0)
+            if new.any():
+                yield i[new], j[new], apart[new]
+            p = q
+
+
+def _tallied(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(code, return_inverse=True)
+    return code, np.bincount(at, n, len(code)).astype(np.int64)
+
+
+def _matched(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many features of ``one`` have one of each other image within MAX_BITS, or the other way round where that is fewer."""
+    bits, start = np.concatenate([f["bits"] for f in others]), np.cumsum([0, *map(len, others)])[:-1]
+    low, high = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+    own, back, step = np.zeros(len(others), np.int64), np.zeros(len(bits), bool), max(1, _AT_ONCE // len(bits))
+    for lo in range(0, len(one), step):
+        part = one["bits"][lo : lo + step]
+        near = np.bitwise_count(part[:, :1] ^ low) + np.bitwise_count(part[:, 1:] ^ high) <= MAX_BITS
+        own += np.logical_or.reduceat(near, start, axis=1).sum(0)
+        back |= near.any(0)
+    return np.minimum(own, np.add.reduceat(back.astype(np.int64), start))
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], min_inliers: int = MIN_INLIERS, same: bool = False) -> list[tuple[int, int]]:
+    """(i, j) of the images of ``a`` and ``b``, by their features, that are copies; of ``same`` lists, those with i < j."""
+    if not a or not b:
+        return []
+    size_a, size_b = np.array([len(f) for f in a]), np.array([len(f) for f in b])
+    needed = np.maximum(min_inliers, np.ceil(MIN_SHARE * np.minimum(size_a[:, None], size_b))).astype(np.int64).ravel()
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    image_a, image_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    seen, moved, held = np.zeros(len(needed), np.int32), [], 0
+    # equal descriptors whose turn and scale agree are carried by their offset; enough with one offset are a consensus
+    packs = len(needed) <= 1 << 22 and max(f[c].max(initial=0) for f in (all_a, all_b) for c in "xy") < 1 << 20
+    for i, j, apart in _met(all_a["bits"], all_b["bits"]):
+        if same:
+            once = image_a[i] < image_b[j]
+            i, j, apart = i[once], j[once], apart[once]
+        pair = image_a[i] * len(b) + image_b[j]
+        np.add.at(seen, pair, 1)
+        if packs:
+            alike = np.flatnonzero((apart == 0) & (all_a["turn"][i] == all_b["turn"][j]) & (all_a["level"][i] == all_b["level"][j]))
+            x, y = (all_b[c][j[alike]].astype(np.int64) - all_a[c][i[alike]] + (1 << 20) for c in "xy")
+            code = (pair[alike].astype(np.uint64) << np.uint64(42)) | (x << 21 | y).astype(np.uint64)
+            moved.append((code, np.ones(len(code))))
+            held += len(code)
+            if held > 4 * _AT_ONCE:
+                moved = [_tallied(*(np.concatenate(c) for c in zip(*moved)))]
+                held = len(moved[0][0])
+    code, n = _tallied(*(np.concatenate(c) for c in zip(*moved))) if moved else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    pair = (code >> np.uint64(42)).astype(np.int64)
+    sure = np.unique(pair[n >= needed[pair]])
+    open_ = np.setdiff1d(np.flatnonzero(seen >= np.maximum(1, SEEN * needed)), sure, assume_unique=True)
+    out = [divmod(int(p), len(b)) for p in sure]
+    edge = np.searchsorted(open_, np.arange(len(a) + 1) * len(b))
+    for i in np.flatnonzero(edge[1:] > edge[:-1]):
+        pairs = open_[edge[i] : edge[i + 1]]
+        for p in pairs[_matched(a[i], [b[p % len(b)] for p in pairs]) >= needed[pairs]]:
+            if consensus(a[i], b[p % len(b)], enough=needed[p]) >= needed[p]:
+                out.append((int(i), int(p % len(b))))
+    return out
+
+
+def _block_links(uri: str, min_inliers: int):
+    """(a, b): the linked images of each pair of blocks (i, j), which are read from the written table of features."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+        def block(k):
+            found = pq.read_table(base, columns=["node", "features"], filters=[("block", "=", k)], filesystem=fs)
+            return found.column("node").to_numpy(), [np.frombuffer(f, _FEATURE) for f in found.column("features").to_pylist()]
+
+        for batch in batches:
+            for i, j in zip(*(batch.column(c).to_pylist() for c in ("i", "j"))):
+                (nodes_a, a), (nodes_b, b) = block(i), block(j)
+                pairs = np.array(linked(a, b, min_inliers, i == j), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_a[pairs[:, 0]], pa.int64()), pa.array(nodes_b[pairs[:, 1]], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def copied_images(media: DataFrame, *, radius: int = RADIUS, contrast: int = CONTRAST, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """(image, class_id, links) of the images of a table (id, image) that have copies; class_id is the smallest id of the class."""
-    if min_buckets < 2:
-        raise ValueError("min_buckets must be at least 2")
-    bounded_batches(media.sparkSession)
+    spark = media.sparkSession
+    bounded_batches(spark)
     rows = media.select(id_or_last("id").alias("id"), F.col("image").cast("binary").alias("image"))
     kept = written(rows.mapInArrow(_described_rows(radius, contrast), "id long, node long, features binary"), "described")
-    images = written(kept.groupBy("node").agg(F.min("features").alias("features")), "images")
     ids = written(kept.select("id", "node").distinct(), "image-ids")
+    size = kept.where(F.length("features") > 0).agg(F.countDistinct("node"), F.sum(F.length("features"))).first()
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-size[0] // SPLIT), -(-(size[1] or 0) // BLOCK_BYTES), min(cores, size[0] // 64))
+    images = kept.where(F.length("features") > 0).groupBy("node").agg(F.min("features").alias("features"))
+    images = images.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
+    images = written(images, "images")
     discard(kept)
-    key = images.where(F.length("features") > 0).mapInArrow(_table_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    buckets = written(key.mapInArrow(sorted_leaders, "key long, node long, leader long"), "buckets")
-    inliers = _inliers(min_inliers)
-    side = lambda c: images.select(F.col("node").alias(c), F.col("features").alias(f"f_{c}"))
-    verified = lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").where(inliers("f_a", "f_b") > 0).select("a", "b")
-    size = lambda c: images.select(F.col("node").alias(c), (F.length("features") / _FEATURE.itemsize).alias(f"n_{c}"))
-    often = F.greatest(F.lit(min_buckets), F.ceil(F.least("n_a", "n_b") * MEET_SHARE))
-    enough = lambda met: met.join(size("a"), "a").join(size("b"), "b").where(F.col("count") >= often).select("a", "b")
-    star = buckets.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).count().where(F.col("count") >= min_buckets)
-    tried = written(enough(star), "star-pairs")
-    edges = written(verified(tried), "star-edges")
+    tasks = spark.range(blocks * blocks).select(F.expr(f"id div {blocks}").alias("i"), F.expr(f"id % {blocks}").alias("j")).where("i <= j")
+    tasks = tasks.repartition(max(1, min(blocks * (blocks + 1) // 2, max(4 * cores, blocks * blocks // 64))))
+    edges = written(tasks.mapInArrow(_block_links(images.written_to, min_inliers), "a long, b long"), "edges")
+    discard(images)
     label = written(connected_components(edges), "labels")
-    labelled = buckets.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = written(labelled.join(split, "key"), "open-buckets")
-    more = written(verified(enough(_crossed(open_)).join(tried, ["a", "b"], "left_anti")), "cross-edges")
-    discard(buckets, tried, open_)
-    both = edges.union(more)
-    if more.count():
-        first, label = label, written(connected_components(both), "labels")
-        discard(first)
-    links = both.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     member = ids.join(label, "node", "left").join(links, "node", "left")
     member = member.select("id", F.coalesce("component", "node").alias("c"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     classes = member.groupBy("c").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     found = written(member.join(classes, "c").select(null_id(F.col("id")).alias("image"), null_id(F.col("class_id")).alias("class_id"), "links"), "image-classes")
-    discard(ids, images, edges, more, label)
+    discard(ids, edges, label)
     return found
 
 

@@ -1,8 +1,6 @@
 import zlib
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,15 +154,26 @@ def flipped(features, bits, keep, seed):
     return out
 
 
-def test_candidates_against_all_pairs_consensus():
-    """Of copies with 12 shared features that differ in 8 bits, which consensus accepts, at least 0.9 meet often enough."""
+@pytest.mark.parametrize(("bits", "shared", "share"), [(6, 5, 1), (8, 12, 1), (16, 12, 0.95), (16, 5, 0.9)])
+def test_candidates_against_all_pairs_consensus(bits, shared, share):
+    """Of copies whose shared features differ in so many bits, which consensus accepts, so large a share is found."""
     met = wanted = 0
     for seed in range(60):
         a = media.describe(picture(seed)[None])[0][:16]
-        b = flipped(a, 8, 12, seed)
+        b = flipped(a, bits, shared, seed)
         wanted += media.consensus(a, b) >= media.MIN_INLIERS
-        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["node", "features"])
-        keys = next(media._table_keys([batch]))
-        mine, other = (set(keys.filter(pc.equal(keys.column("node"), i)).column("key").to_pylist()) for i in (1, 2))
-        met += len(mine & other) >= media.MIN_BUCKETS
-    assert wanted == 60 and met >= 0.9 * wanted
+        met += media.linked([a], [b]) == [(0, 0)]
+    assert wanted == 60 and met >= share * wanted
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """Every pair that consensus accepts is counted, also where others connect its images already."""
+    rows = []
+    for i in range(4):
+        p = picture(i)
+        for k, q in enumerate((p, p[6:, :], p[:, 9:], np.clip(p * 0.9 + 12, 0, 255).astype(np.uint8), p[20:170, 10:], *edits(p).values())):
+            rows.append((10 * i + k if k < 10 else 1000 + 10 * i + k, pgm(q)))
+    features = {i: media.describe(media.decode(raw)[None])[0] for i, raw in rows}
+    want = {i: sum(copies(features[i], features[k]) for k in features if k != i) for i in features}
+    got = {r.image: r.links for r in media.copied_images(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {i: n for i, n in want.items() if n} and max(got.values()) >= 6
