@@ -1,12 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Word n-grams up to order three are counted over all documents and smoothed by absolute discounting.
-By default every n-gram is kept, however rare it is and however large the corpus.  As each n-gram of
-a scored text is then an arc of the automaton, a text follows arcs only: a word costs the count of its
-triple less the discount, over the count of its context.  The arcs are never in one place.  Texts are
-cut into slices; the pairs and triples of a slice are sent, distinct and counted, to the shards that
-their keys hash to, which return how often each occurs in all slices, and the texts of a slice are
-traversed with the arcs that they meet.
+By default every n-gram is kept, however rare it is and however large the corpus, and the automaton is
+never in one place.  Texts are cut into slices; the pairs and triples of a slice are sent, distinct and counted,
+to the shards that their keys hash to, which return how often each occurs in all slices.  That gives a slice the
+part of the automaton that its texts can reach: a state for each context, an arc for each n-gram that was counted,
+and a failure arc to the next shorter context.  The texts are traversed once.  An arc costs the
+count of its n-gram less the discount, over the count of its context.  Failure arcs are noted with the text that
+takes them, and the exact backoff weights of the states that are left by them are worked out from
+all counts afterwards.  Texts that the model was counted over have an arc for each word; others (``texts``) fail, too.
 
 ``min_share`` asks for a bounded automaton instead, which one machine holds, and which scores texts
 that it was not counted over, too.  It keeps n-grams whose share of all words is at least
@@ -325,14 +327,15 @@ def _of_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _shard_keys(bits: int):
-    """(shard, slice, keys, n) of the distinct pairs and triples of each slice; shards are the first bits of the keys."""
+def _shard_keys(bits: int, counted: bool = True):
+    """(shard, slice, keys, n) of the distinct pairs and triples of each slice; shards are the first bits of the keys; n is 0 if they aren't counted."""
 
     def run(batches):
         for batch in batches:
             for number, blob in zip(batch.column("slice").to_pylist(), batch.column("texts").to_pylist()):
                 pair, _, _, _, triple, _, _ = _ngrams(_unpacked(blob).column("text"))
                 keys, n = np.unique(np.concatenate([pair, triple]), return_counts=True)
+                n = n if counted else np.zeros_like(n)
                 edge = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
                 edge = np.r_[0, edge, len(keys)]
                 used = np.flatnonzero(edge[1:] > edge[:-1])
@@ -354,44 +357,120 @@ def _total_counts(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("slice"), rows.column("shard"), pa.array(blobs, pa.binary())], ["slice", "shard", "n"])
 
 
+def _contexts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, whether the text begins with it) of each word, in the order of the pairs of :func:`_ngrams`."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_tokens(column)]
+    word, row = (np.concatenate(c) for c in zip(*found))
+    first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    return np.where(first, _START.view(np.int64), np.r_[word[:1], word[:-1]]), word, first
+
+
+#: What is noted of a failure arc: the pair that is left and its count (-1: the text begins), the word before, the word, the count of both.
+_FAILED = ("pair", "n_pair", "before", "word", "n_both")
+
+
 def _traversed(texts: pa.Table, counts: pa.Table, discount: float, begun: int) -> pa.Table:
-    """(doc_id, tokens, log_probability) of the texts of a slice."""
+    """(slice, place, doc_id, tokens, log_probability of arcs, failed) of the texts of a slice."""
     batch = _unpacked(texts.column("texts")[0].as_py())
     pair, row2, start, follows, triple, row3, count = _ngrams(batch.column("text"))
     _, at = np.unique(np.concatenate([pair, triple]), return_inverse=True)
     blobs = counts.sort_by("shard").column("n").to_pylist()
     n = np.concatenate([np.zeros(0), *map(_of_planes, blobs)])[at]
     c2, c3 = n[: len(pair)], n[len(pair) :]
-    total = np.zeros(len(batch))
-    total += np.bincount(row2[start], np.log((c2[start] - discount) / max(begun, 1)), len(batch))
-    total += np.bincount(row3, np.log((c3 - discount) / c2[follows]), len(batch))  # the triples, in order, are those of the pairs that go on
-    return pa.table([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(total)], ["doc_id", "tokens", "log_probability"])
+    state, arc = np.full(len(pair), float(begun)), c2.copy()  # counts of the context before each word, and of it with the word
+    state[~start], arc[~start] = c2[follows], c3  # the triples, in order, are those of the pairs that go on
+    taken = arc > 0
+    total = np.bincount(row2[taken], np.log((arc[taken] - discount) / state[taken]), len(batch)) if taken.any() else np.zeros(len(batch))
+    left = np.flatnonzero(~taken)
+    noted = np.zeros((len(left), len(_FAILED)), np.int64)
+    if len(left):
+        before, word, _ = _contexts(batch.column("text"))
+        noted[:, 0] = pair[np.maximum(left - 1, 0)].view(np.int64)
+        noted[:, 1] = np.where(start[left], -1, state[left])
+        noted[:, 2], noted[:, 3], noted[:, 4] = before[left], word[left], c2[left]
+    edge = np.searchsorted(row2[left], np.arange(len(batch) + 1)) * len(_FAILED)
+    failed = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(noted.ravel()))
+    number = pa.array(np.full(len(batch), texts.column("slice")[0].as_py()), pa.int64())
+    cols = [number, pa.array(np.arange(len(batch)), pa.int64()), batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(total), failed]
+    return pa.table(cols, ["slice", "place", "doc_id", "tokens", "log_probability", "failed"])
+
+
+def _backed_off(failed: DataFrame, docs: DataFrame, discount: float) -> DataFrame:
+    """(slice, place, backoff): what the failure arcs of each text cost, with the words that are read after them."""
+
+    def grams(batches):
+        for batch in batches:
+            before, word, first = _contexts(batch.column("text"))
+            pair = _joined(before.view(np.uint64), word.view(np.uint64), _PAIR).view(np.int64)
+            left = np.where(first, 0, np.r_[pair[:1], pair[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(left), pa.array(before), pa.array(word)], ["first", "pair", "before", "word"])
+
+    counted = written(docs.select("text").mapInArrow(grams, "first boolean, pair long, before long, word long").groupBy("first", "pair", "before", "word").agg(F.count("*").alias("n")), "triples")
+    log = lambda kept, shorter: F.log(F.greatest(1 - kept, F.lit(1e-12)) / F.greatest(1 - shorter, F.lit(1e-12)))
+    words_ = counted.groupBy("word").agg(F.sum("n").alias("n_word"))
+    both = counted.groupBy("before", "word").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    begun = counted.where("first").agg(F.sum("n")).first()[0] or 0
+    context = words_.select(F.col("word").alias("before"), F.col("n_word").alias("n_before")).union(docs.sparkSession.createDataFrame([(int(_START.view(np.int64)), begun)], "before long, n_before long"))
+    pairs = written(both.join(context, "before").join(words_, "word").select("before", "word", "n_before", ((F.col("n") - discount) / F.col("n_before")).alias("p2"), (F.col("n_word") / (total + 1)).alias("p1")), "pairs")
+    alpha1 = pairs.groupBy("before").agg(log(F.sum("p2"), F.sum("p1")).alias("alpha1"))
+    wanted = failed.where("n_pair > 0").select("pair", "n_pair").distinct()
+    alpha2 = counted.where("not first").join(wanted, "pair").join(pairs, ["before", "word"])
+    alpha2 = alpha2.groupBy("pair").agg(log(F.sum((F.col("n") - discount) / F.col("n_pair")), F.sum("p2")).alias("alpha2"))
+    found = failed.join(alpha2, "pair", "left").join(alpha1, "before", "left").join(context, "before", "left").join(words_, "word", "left")
+    single = F.log(F.coalesce("n_word", F.lit(1)) / (total + 1))
+    after = F.when(F.col("n_both") > 0, F.log((F.col("n_both") - discount) / F.col("n_before"))).otherwise(F.coalesce("alpha1", F.lit(0.0)) + single)
+    cost = after + F.when(F.col("n_pair") > 0, F.coalesce("alpha2", F.lit(0.0))).otherwise(0.0)
+    out = written(found.groupBy("slice", "place").agg(F.sum(cost).alias("backoff")), "backoff")
+    discard(counted, pairs)
+    return out
+
+
+#: Added to the numbers of slices of texts that are scored but not counted.
+_OTHER = 1 << 62
 
 
-def _scored_whole(docs: DataFrame, discount: float) -> DataFrame:
+def _scored_whole(docs: DataFrame, discount: float, others: DataFrame | None = None) -> DataFrame:
     if not 0 < discount < 1:
         raise ValueError("discount must lie between 0 and 1")
     bounded_batches(docs.sparkSession)
-    texts = docs.select(whole_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slices = written(texts.mapInArrow(_sliced, "slice long, begun long, texts binary"), "slices")
+    cut = lambda df: df.select(whole_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, schema = cut(docs), "slice long, begun long, texts binary"
+    slices = written(texts.mapInArrow(_sliced, schema), "slices")
     size, begun = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, slices.agg(F.sum("begun")).first()[0] or 0
     bits = (size // SHARD_BYTES).bit_length()
-    keys = slices.select("slice", "texts").mapInArrow(_shard_keys(bits), "shard long, slice long, keys binary, n binary")
+    form = "shard long, slice long, keys binary, n binary"
+    keys, scored = slices.select("slice", "texts").mapInArrow(_shard_keys(bits), form), slices
+    if others is not None:
+        scored = written(cut(others).mapInArrow(_sliced, schema).withColumn("slice", F.col("slice") + F.lit(_OTHER)), "other-slices")
+        keys = keys.union(scored.select("slice", "texts").mapInArrow(_shard_keys(bits, counted=False), form))
     counts = keys.groupBy("shard").applyInArrow(_total_counts, "slice long, shard long, n binary")
+    if others is not None:
+        counts = counts.where(F.col("slice") >= _OTHER)
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
         return _traversed(left, right, discount, begun)
 
-    found = slices.select("slice", "texts").groupBy("slice").cogroup(counts.groupBy("slice"))
-    out = written(found.applyInArrow(traverse, "doc_id long, tokens long, log_probability double"), "scores")
-    discard(slices)
-    return out
+    found = scored.select("slice", "texts").groupBy("slice").cogroup(counts.groupBy("slice"))
+    out = written(found.applyInArrow(traverse, "slice long, place long, doc_id long, tokens long, log_probability double, failed array<bigint>"), "scores")
+    discard(slices, *([scored] if others is not None else []))
+    columns = ["doc_id", "tokens", "log_probability"]
+    if others is None:  # each word had its arc
+        return out.select(columns)
+    width = len(_FAILED)
+    failed = out.where("size(failed) > 0").select("slice", "place", F.explode(F.expr(f"sequence(0, size(failed) - {width}, {width})")).alias("k"), "failed")
+    failed = failed.select("slice", "place", *(F.expr(f"failed[k + {c}]").alias(name) for c, name in enumerate(_FAILED)))
+    backoff = _backed_off(failed, texts, discount)
+    return out.join(backoff, ["slice", "place"], "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("backoff", F.lit(0.0))).select(columns)
+
 
+def score_documents(docs: DataFrame, *, texts: DataFrame | None = None, min_share: float | None = None, discount: float = DISCOUNT, model: BackoffAutomaton | None = None) -> DataFrame:
+    """(doc_id, tokens, log_probability, perplexity) under all n-grams of ``docs``, or a bounded automaton: ``model``, or that of ``min_share``.
 
-def score_documents(docs: DataFrame, *, min_share: float | None = None, discount: float = DISCOUNT, model: BackoffAutomaton | None = None) -> DataFrame:
-    """(doc_id, tokens, log_probability, perplexity) under all n-grams of ``docs``, or a bounded automaton: ``model``, or that of ``min_share``."""
+    Scored are ``texts`` (doc_id, text), or ``docs`` themselves.
+    """
     if model is None and min_share is None:
-        return _with_perplexity(_scored_whole(docs, discount))
+        return _with_perplexity(_scored_whole(docs, discount, texts))
     model = model or fit_automaton(docs, min_share=min_share, discount=discount)
 
     @F.arrow_udf("struct<tokens bigint, log_probability double>")
@@ -399,7 +478,7 @@ def score_documents(docs: DataFrame, *, min_share: float | None = None, discount
         total, count = model.score(text)
         return pa.StructArray.from_arrays([pa.array(count.astype(np.int64)), pa.array(total)], ["tokens", "log_probability"])
 
-    return _with_perplexity(docs.select(whole_id().alias("doc_id"), score(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
+    return _with_perplexity((docs if texts is None else texts).select(whole_id().alias("doc_id"), score(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
 
 
 def _with_perplexity(scored: DataFrame) -> DataFrame:

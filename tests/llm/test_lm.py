@@ -109,3 +109,16 @@ def test_rare_ngrams_count_in_a_large_corpus(spark, monkeypatch):
     for r in got:
         want = brute.score(texts[r.doc_id])
         assert r.log_probability == pytest.approx(want, abs=1e-6, rel=1e-9)
+
+
+def test_failure_arcs_under_all_ngrams(spark, monkeypatch):
+    """Texts that the model wasn't counted over take failure arcs, with the backoff weights of the unpruned model."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 10)
+    texts = [*corpus(5), "once only words here", "ends in the", "stop go"]
+    new = [*corpus(6)[:25], "novel", "once only novel here", "ends in the novel", "go stop go", "the Of w1 unheard of w1", "", None]
+    frame = lambda x: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(x)], SCHEMA).repartition(3)
+    brute = Brute(texts, 1e-12, lm.DISCOUNT)
+    got = lm.score_documents(frame(texts), texts=frame(new)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(new)))
+    for r in got:
+        assert r.log_probability == pytest.approx(brute.score(new[r.doc_id]), abs=1e-6, rel=1e-9), new[r.doc_id]
