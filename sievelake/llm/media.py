@@ -4,14 +4,16 @@ Corners are found on three scales by the segment test (nine contiguous pixels of
 that are all brighter, or all darker, than its centre).  An image is described by every corner that is
 the strongest within ``radius`` pixels of its scale, so features are spread over it, their number grows
 with its area, and a crop keeps those that it shows.  Each is turned to its intensity centroid and
-described by 128 comparisons of smoothed pixels (Rublee et al., 2011).  Descriptors meet in seven tables
-of 18 or 19 bits, so those that differ in up to six bits always do, and those that differ in MAX_BITS with
-probability 0.46; what meets is compared bit by bit.  Pairs of images of which one feature in five of those
-that a copy needs has met another within MAX_BITS (one, for most) are compared descriptor by descriptor, and
+described by 128 comparisons of smoothed pixels (Rublee et al., 2011).  Descriptors meet in twice seven tables
+of 18 or 19 bits, of which each seven share out the 128 bits in another order; so those that differ in up to six bits
+always meet, and those that differ in MAX_BITS with probability 0.71; what meets is compared bit by bit, each
+distinct descriptor of a block once.  Pairs of images of which two features in five of those that a copy needs have met others
+within MAX_BITS (two, for most) are compared descriptor by descriptor, and
 a similarity transform is voted for: images are copies if one transform, proposed by a match or by two, carries
-at least ``min_inliers`` matches and ``MIN_SHARE`` of the features of the image that has fewer.
-That stands cropping, scaling, turning and local edits.  A copy whose five features all differ in
-MAX_BITS bits is found with probability 0.95, a closer or larger one with more.
+at least ``min_inliers`` matches and ``MIN_SHARE`` of the features of the image that has fewer.  The transforms that
+one match proposes are voted on for many pairs at once; only pairs that these leave open, and that another transform might link, are
+looked at one by one.  That stands cropping, scaling, turning and local edits.  A copy whose five features all differ in
+MAX_BITS bits is found with probability 0.97, a closer or larger one with more.
 
 Every pair is verified, also of images that others connect already, so ``links`` is complete; classes are the
 connected components of the links.
@@ -53,20 +55,28 @@ from .kernels import buffers, mix64, row_bounds, slices, span_hashes, words
 RADIUS = 8
 CONTRAST = 20
 MAX_BITS = 16
-#: Features of a pair that must be seen to meet, as a share of those that a copy needs; one at least.
-SEEN = 0.2
+#: Features of a pair that must be seen to meet, as a share of those that a copy needs.
+SEEN = 0.4
 MIN_INLIERS = 5
 MIN_SHARE = 0.15
 TOLERANCE = 3.0
 #: How far the transform that one match proposes may be wrong, by its rounded turn and scale, as a share of the distance.
 ROUNDED = 0.25
 STACK_PIXELS = 1 << 20
+#: Pixels of images of one shape that are described together.
+_TOGETHER = 1 << 17
 MAX_PIXELS = 1 << 26
 #: Images of a block, and bytes of their features.
-SPLIT = 1536
+SPLIT = 3072
 BLOCK_BYTES = 8 << 20
 #: Pairs of features that are compared at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 19
+#: Comparisons of a key from which its descriptors are compared as a table, all with all.
+_CROWD = 2048
+#: Comparisons of such a table at once, which caches hold.
+_TABLE = 1 << 16
+#: Matches of a pair of images up to which each proposes a transform in the first vote; of more, a few do.
+_VOTES, _FEW = 256, 16
 
 _CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _BORDER = 14
@@ -203,20 +213,22 @@ def _corners(level: np.ndarray, contrast: int, radius: int = RADIUS):
         return z, z, z, z
     core = level[:, _BORDER : h - _BORDER, _BORDER : w - _BORDER]
     up, down = core + np.int16(contrast), core - np.int16(contrast)
-    bright, dark = np.zeros(core.shape, np.uint16), np.zeros(core.shape, np.uint16)
-    score = np.zeros(core.shape, np.int16)
-    for k, (dx, dy) in enumerate(_CIRCLE):
+    bright, dark = np.zeros((2, *core.shape), np.uint8), np.zeros((2, *core.shape), np.uint8)  # eight neighbours each
+    beyond, apart, score = np.empty(core.shape, bool), np.empty(core.shape, np.int16), np.zeros(core.shape, np.int16)
+    for k, (dx, dy) in reversed(list(enumerate(_CIRCLE))):
         ring = level[:, _BORDER + dy : h - _BORDER + dy, _BORDER + dx : w - _BORDER + dx]
-        bright |= (ring > up).astype(np.uint16) << np.uint16(k)
-        dark |= (ring < down).astype(np.uint16) << np.uint16(k)
-        score += np.abs(ring - core)
-    corner = _ARC[bright] | _ARC[dark]
+        for compare, bound, bits in ((np.greater, up, bright[k // 8]), (np.less, down, dark[k // 8])):
+            np.add(bits, bits, out=bits)
+            np.bitwise_or(bits, compare(ring, bound, out=beyond).view(np.uint8), out=bits)
+        score += np.abs(np.subtract(ring, core, out=apart), out=apart)
+    corner = _ARC[bright[0] | bright[1].astype(np.uint16) << np.uint16(8)] | _ARC[dark[0] | dark[1].astype(np.uint16) << np.uint16(8)]
     image, y, x = np.nonzero(corner)
-    y, x, score = y + _BORDER, x + _BORDER, score[corner].astype(np.int64)
+    score = score[corner].astype(np.int64)
+    y, x = y + _BORDER, x + _BORDER
     inner_h, inner_w = core.shape[1:]
     # equal scores are told apart by place, so that one of a plateau remains
     own = score * (inner_h * inner_w) + (inner_h * inner_w - 1 - (y - _BORDER) * inner_w - (x - _BORDER))
-    ranked = np.zeros(core.shape, np.int64)
+    ranked = np.zeros(core.shape, np.int32 if 4081 * inner_h * inner_w < 1 << 31 else np.int64)
     ranked[image, y - _BORDER, x - _BORDER] = own
     best = own == _widest(_widest(ranked, radius, 1), radius, 2)[image, y - _BORDER, x - _BORDER]
     return image[best], y[best], x[best], score[best]
@@ -345,7 +357,7 @@ def _described_rows(radius: int, contrast: int):
                 if p is not None:
                     by_shape[p.shape].append(i)
             for (h, w), places in by_shape.items():
-                step = max(1, STACK_PIXELS // max(1, h * w))
+                step = max(1, _TOGETHER // max(1, h * w))
                 for c in range(0, len(places), step):
                     part = places[c : c + step]
                     stack = np.stack([pixels[i] for i in part])
@@ -363,54 +375,183 @@ def _described_rows(radius: int, contrast: int):
 _PIXEL_MIX = np.random.default_rng(8).integers(1, 2**63 - 1, 256, dtype=np.uint64)
 
 
-def _table_keys(bits: np.ndarray) -> np.ndarray:
-    """The keys of each descriptor in the seven tables: 18, 18, 18, 19, 18, 18 and 19 of its bits."""
+def _keys(bits: np.ndarray) -> np.ndarray:
+    """The keys of each descriptor in seven tables: 18, 18, 18, 19, 18, 18 and 19 of its bits."""
     low, high, mask = bits[:, 0], bits[:, 1], np.uint64((1 << 18) - 1)
     at = lambda word, k: word >> np.uint64(k)
     middle = at(low, 54) | (high & np.uint64(511)) << np.uint64(10)
     return np.stack([low & mask, at(low, 18) & mask, at(low, 36) & mask, middle, at(high, 9) & mask, at(high, 27) & mask, at(high, 45)]).astype(np.uint32)
 
 
+def _mixed(bits: np.ndarray) -> np.ndarray:
+    """The descriptors with their bits in another order, so that few bits of a table share one again."""
+    out = np.zeros_like(bits)
+    for k in range(128):
+        to = k % 16 * 8 + k // 16
+        out[:, to // 64] |= (bits[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) << np.uint64(to % 64)
+    return out
+
+
+def _by_key(key: np.ndarray):
+    """The places of descriptors in the order of their keys, and how many have each key."""
+    order = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+    return (order & np.uint64((1 << 32) - 1)).astype(np.int64), np.bincount(key, minlength=1 << 19)
+
+
 def _met(a: np.ndarray, b: np.ndarray):
-    """(i, j, bits apart) of the descriptors that share a key and differ in up to MAX_BITS, each pair once."""
-    keys_a, keys_b = _table_keys(a), _table_keys(b)
+    """(i, j) of the descriptors that share a key of the fourteen tables and differ in up to MAX_BITS, each pair once."""
+    both = [(a, b), (_mixed(a), _mixed(b))]
+    keys_a, keys_b = (np.concatenate([_keys(x[side]) for x in both]) for side in (0, 1))
     for t in range(len(keys_a)):
-        order_a, order_b = np.argsort(keys_a[t], kind="stable"), np.argsort(keys_b[t], kind="stable")
-        key_a, key_b = keys_a[t][order_a], keys_b[t][order_b]
-        low_a, low_b = a[order_a, 0], b[order_b, 0]
-        start = np.searchsorted(key_b, key_a)
-        size = np.searchsorted(key_b, key_a, "right") - start
-        total, p = np.r_[0, np.cumsum(size)], 0
-        while p < len(size):
+        (order_a, n_a), (order_b, n_b) = _by_key(keys_a[t]), _by_key(keys_b[t])
+        start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        far = int(t % 7 < 4)  # the word that has fewer bits of the key tells more
+        far_a, far_b, near_a, near_b = (np.ascontiguousarray(x[order, w]) for w in (far, 1 - far) for x, order in zip(both[t // 7], (order_a, order_b)))
+
+        def close(i, j):
+            alike = np.flatnonzero(np.bitwise_count(far_a[i] ^ far_b[j]) + np.bitwise_count(near_a[i] ^ near_b[j]) <= MAX_BITS)
+            i, j = order_a[i[alike]], order_b[j[alike]]
+            new = np.ones(len(i), bool)
+            for k in range(t):
+                new &= keys_a[k, i] != keys_b[k, j]
+            return i[new], j[new]
+
+        held, found = 0, []
+        work = n_a * n_b
+        for k in np.flatnonzero(work >= _CROWD):  # all with all
+            p, q, m, n = int(start_a[k]), int(start_b[k]), int(n_a[k]), int(n_b[k])
+            step = max(1, _TABLE // n)
+            for lo in range(p, p + m, step):
+                at = np.flatnonzero(np.bitwise_count(far_a[lo : min(lo + step, p + m), None] ^ far_b[q : q + n]) <= MAX_BITS)
+                found.append((at // n + lo, at % n + q))
+                held += len(at)
+                if held > _AT_ONCE:
+                    yield close(*(np.concatenate(c) for c in zip(*found)))
+                    held, found = 0, []
+        some = np.flatnonzero((work > 0) & (work < _CROWD))
+        total = np.r_[0, np.cumsum(work[some])]
+        p = 0
+        while p < len(some):
+            q = max(p + 1, int(np.searchsorted(total, total[p] + _AT_ONCE // 4, "right")) - 1)
+            k = some[p:q]
+            size = np.repeat(n_b[k], n_a[k])  # a run for each descriptor of a
+            i = np.repeat(start_a[k] - np.cumsum(n_a[k]) + n_a[k], n_a[k]) + np.arange(len(size))
+            first = np.repeat(start_b[k], n_a[k]) - np.cumsum(size) + size
+            i, j = np.repeat(i, size), np.repeat(first, size) + np.arange(total[q] - total[p])
+            at = np.flatnonzero(np.bitwise_count(far_a[i] ^ far_b[j]) <= MAX_BITS)
+            found.append((i[at], j[at]))
+            p = q
+        if found:
+            yield close(*(np.concatenate(c) for c in zip(*found)))
+
+
+def _distinct(bits: np.ndarray):
+    """The distinct descriptors, the places of each, one after the other, and where these begin."""
+    order = np.lexsort((bits[:, 1], bits[:, 0]))
+    ordered = bits[order]
+    first = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(1)]) if len(order) else order
+    return ordered[first], order, np.r_[first, len(order)]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 … for size[0] places, and so on."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _opened(bits_a, image_a, bits_b, image_b, needed, shape: tuple[int, int], same: bool) -> np.ndarray:
+    """The pairs of images of which as many features meet as SEEN asks for, as image of a * images of b + image of b."""
+    (a, order_a, first_a), (b, order_b, first_b) = _distinct(bits_a), _distinct(bits_b)
+    seen = np.zeros(shape[0] * shape[1], np.uint32)
+    for i, j in _met(a, b):
+        n_a, n_b = first_a[i + 1] - first_a[i], first_b[j + 1] - first_b[j]
+        total, p = np.r_[0, np.cumsum(n_a * n_b)], 0
+        while p < len(i):
             q = max(p + 1, int(np.searchsorted(total, total[p] + _AT_ONCE, "right")) - 1)
-            i = np.repeat(np.arange(p, q), size[p:q])
-            j = np.arange(total[p], total[q]) + np.repeat(start[p:q] - total[p:q], size[p:q])
-            apart = np.bitwise_count(low_a[i] ^ low_b[j])
-            near = np.flatnonzero(apart <= MAX_BITS)
-            i, j = order_a[i[near]], order_b[j[near]]
-            apart = apart[near] + np.bitwise_count(a[i, 1] ^ b[j, 1])
-            new = (apart <= MAX_BITS) & ~(keys_a[:t, i] == keys_b[:t, j]).any(0)
-            if new.any():
-                yield i[new], j[new], apart[new]
+            for r in range(first_a[i[p]], first_a[i[p] + 1], max(1, _AT_ONCE // int(n_b[p]))) if q == p + 1 else (None,):
+                if r is None:
+                    left = _runs(first_a[i[p:q]], n_a[p:q])
+                    runs, start = np.repeat(n_b[p:q], n_a[p:q]), np.repeat(first_b[j[p:q]], n_a[p:q])
+                else:  # one pair of descriptors that many images have
+                    left = np.arange(r, min(r + max(1, _AT_ONCE // int(n_b[p])), first_a[i[p] + 1]))
+                    runs, start = np.full(len(left), n_b[p]), np.full(len(left), first_b[j[p]])
+                x, y = np.repeat(image_a[order_a[left]], runs), image_b[order_b[_runs(start, runs)]]
+                pair = x * shape[1] + y
+                pair = pair[x < y] if same else pair
+                np.add.at(seen, pair, np.uint32(1))
             p = q
+    open_ = np.flatnonzero(seen >= max(1, int(np.ceil(SEEN * needed.least))))
+    return open_[seen[open_] >= SEEN * needed(open_)]
+
+
+class _Needed:
+    """How many features of each pair of images one transform must carry."""
+
+    def __init__(self, size_a, size_b, min_inliers: int):
+        self.a, self.b, self.least = size_a, size_b, min_inliers
+
+    def __call__(self, pair: np.ndarray) -> np.ndarray:
+        i, j = np.divmod(pair, len(self.b))
+        return np.maximum(self.least, np.ceil(MIN_SHARE * np.minimum(self.a[i], self.b[j]))).astype(np.int64)
+
+
+def _matches(pair, image, other, bits_a, bits_b, start_a, start_b, size_a, size_b):
+    """(place in pair, feature of a, feature of b, bits apart) of all within MAX_BITS; pairs are ordered by their image of a."""
+    n = size_b[other]
+    right, owner = _runs(start_b[other], n), np.repeat(np.arange(len(pair)), n)
+    low, high, out = bits_b[right, 0], bits_b[right, 1], []
+    edge = np.flatnonzero(np.r_[True, image[1:] != image[:-1], True])
+    begin = np.r_[0, np.cumsum(n)]
+    for p, q in zip(edge, edge[1:]):
+        s, e, k = begin[p], begin[q], image[p]
+        step = max(1, _TABLE // int(e - s))
+        for lo in range(start_a[k], start_a[k] + size_a[k], step):
+            own = bits_a[lo : min(lo + step, start_a[k] + size_a[k])]
+            at = np.flatnonzero(np.bitwise_count(own[:, :1] ^ low[s:e]) <= MAX_BITS)
+            i, j = at // (e - s), at % (e - s) + s
+            apart = np.bitwise_count(own[i, 0] ^ low[j]) + np.bitwise_count(own[i, 1] ^ high[j])
+            near = np.flatnonzero(apart <= MAX_BITS)
+            out.append((owner[j[near]], i[near] + lo, right[j[near]], apart[near]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _tallied(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(code, return_inverse=True)
-    return code, np.bincount(at, n, len(code)).astype(np.int64)
+def _each(group: np.ndarray, item: np.ndarray, groups: int) -> np.ndarray:
+    """How many distinct items each group has."""
+    code = np.sort(group.astype(np.int64) << 32 | item)
+    return np.bincount(code[np.r_[True, code[1:] != code[:-1]]] >> 32, minlength=groups) if len(code) else np.zeros(groups, np.int64)
 
 
-def _matched(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """How many features of ``one`` have one of each other image within MAX_BITS, or the other way round where that is fewer."""
-    bits, start = np.concatenate([f["bits"] for f in others]), np.cumsum([0, *map(len, others)])[:-1]
-    low, high = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
-    own, back, step = np.zeros(len(others), np.int64), np.zeros(len(bits), bool), max(1, _AT_ONCE // len(bits))
-    for lo in range(0, len(one), step):
-        part = one["bits"][lo : lo + step]
-        near = np.bitwise_count(part[:, :1] ^ low) + np.bitwise_count(part[:, 1:] ^ high) <= MAX_BITS
-        own += np.logical_or.reduceat(near, start, axis=1).sum(0)
-        back |= near.any(0)
-    return np.minimum(own, np.add.reduceat(back.astype(np.int64), start))
+def _voted(n: int, at, i, j, a: np.ndarray, b: np.ndarray, needed: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """What the first vote of :func:`consensus` finds for all pairs at once, by their matches (pair, feature of a, of b): whether
+    the transform that a match proposes carries enough; whether so many are near one that another transform might."""
+    size = np.bincount(at, minlength=n)
+    order = np.argsort(at, kind="stable")
+    at, i, j = at[order], i[order], j[order]
+    scale = np.array(_SCALES)
+    p, q = (f["x"][k].astype(float) + 1j * f["y"][k] for f, k in ((a, i), (b, j)))
+    turn = (b["turn"][j].astype(float) - a["turn"][i]) * 2 * np.pi / _TURNS
+    proposed = scale[b["level"][j]] / scale[a["level"][i]] * np.exp(1j * turn)
+    sure, may = np.zeros(n, bool), np.zeros(n, bool)
+    begin, lo = np.cumsum(size) - size, 0
+    many = size > _VOTES
+    may |= many
+    asks = np.flatnonzero(~many[at] | ((np.arange(len(at)) - begin[at]) % -(-size // _FEW)[at] == 0))
+    rows = size[at[asks]]
+    total = np.r_[0, np.cumsum(rows)]
+    while lo < len(asks):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _AT_ONCE // 4, "right")) - 1)
+        ask, pair = asks[lo:hi], at[asks[lo:hi]]
+        k, o = np.repeat(np.arange(hi - lo), rows[lo:hi]), _runs(begin[pair], rows[lo:hi])
+        far = p[o] - p[ask][k]
+        off = np.abs(proposed[ask][k] * far + q[ask][k] - q[o])
+        want = needed[pair]
+        for near, verdict in ((off <= tolerance, sure), (off <= tolerance + ROUNDED * np.abs(far), may)):
+            carried = np.bincount(k[near], minlength=hi - lo)
+            near = np.flatnonzero(near & ((carried >= want) & ~sure[pair] & ~may[pair] if verdict is may else carried >= want)[k])
+            own, other = k[near], o[near]
+            enough = np.minimum(_each(own, i[other], hi - lo), _each(own, j[other], hi - lo)) >= want
+            verdict[pair[enough]] = True
+        lo = hi
+    return sure, may
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], min_inliers: int = MIN_INLIERS, same: bool = False) -> list[tuple[int, int]]:
@@ -418,38 +559,41 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], min_inliers: int = MIN_INLI
     if not a or not b:
         return []
     size_a, size_b = np.array([len(f) for f in a]), np.array([len(f) for f in b])
-    needed = np.maximum(min_inliers, np.ceil(MIN_SHARE * np.minimum(size_a[:, None], size_b))).astype(np.int64).ravel()
+    needed = _Needed(size_a, size_b, min_inliers)
     all_a, all_b = np.concatenate(a), np.concatenate(b)
-    image_a, image_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
-    seen, moved, held = np.zeros(len(needed), np.int32), [], 0
-    # equal descriptors whose turn and scale agree are carried by their offset; enough with one offset are a consensus
-    packs = len(needed) <= 1 << 22 and max(f[c].max(initial=0) for f in (all_a, all_b) for c in "xy") < 1 << 20
-    for i, j, apart in _met(all_a["bits"], all_b["bits"]):
-        if same:
-            once = image_a[i] < image_b[j]
-            i, j, apart = i[once], j[once], apart[once]
-        pair = image_a[i] * len(b) + image_b[j]
-        np.add.at(seen, pair, 1)
-        if packs:
-            alike = np.flatnonzero((apart == 0) & (all_a["turn"][i] == all_b["turn"][j]) & (all_a["level"][i] == all_b["level"][j]))
-            x, y = (all_b[c][j[alike]].astype(np.int64) - all_a[c][i[alike]] + (1 << 20) for c in "xy")
-            code = (pair[alike].astype(np.uint64) << np.uint64(42)) | (x << 21 | y).astype(np.uint64)
-            moved.append((code, np.ones(len(code))))
-            held += len(code)
-            if held > 4 * _AT_ONCE:
-                moved = [_tallied(*(np.concatenate(c) for c in zip(*moved)))]
-                held = len(moved[0][0])
-    code, n = _tallied(*(np.concatenate(c) for c in zip(*moved))) if moved else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    pair = (code >> np.uint64(42)).astype(np.int64)
-    sure = np.unique(pair[n >= needed[pair]])
-    open_ = np.setdiff1d(np.flatnonzero(seen >= np.maximum(1, SEEN * needed)), sure, assume_unique=True)
-    out = [divmod(int(p), len(b)) for p in sure]
-    edge = np.searchsorted(open_, np.arange(len(a) + 1) * len(b))
-    for i in np.flatnonzero(edge[1:] > edge[:-1]):
-        pairs = open_[edge[i] : edge[i + 1]]
-        for p in pairs[_matched(a[i], [b[p % len(b)] for p in pairs]) >= needed[pairs]]:
-            if consensus(a[i], b[p % len(b)], enough=needed[p]) >= needed[p]:
-                out.append((int(i), int(p % len(b))))
+    bits_a, bits_b = np.ascontiguousarray(all_a["bits"]), np.ascontiguousarray(all_b["bits"])
+    start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    open_ = _opened(bits_a, np.repeat(np.arange(len(a)), size_a), bits_b, np.repeat(np.arange(len(b)), size_b), needed, (len(a), len(b)), same)
+    out, held = [], np.r_[0, np.cumsum(size_b[open_ % len(b)])]
+    lo = 0
+    while lo < len(open_):
+        hi = max(lo + 1, int(np.searchsorted(held, held[lo] + _AT_ONCE, "right")) - 1)
+        pair = open_[lo:hi]
+        lo = hi
+        image, other = np.divmod(pair, len(b))
+        at, i, j, apart = _matches(pair, image, other, bits_a, bits_b, start_a, start_b, size_a, size_b)
+        want = needed(pair)
+        matched = np.minimum(_each(at, i, len(pair)), _each(at, j, len(pair))) >= want
+        keep = matched[at]
+        at, i, j, apart = at[keep], i[keep], j[keep], apart[keep]
+        # of the image that has fewer, each feature goes with those nearest to it
+        fewer = (size_a[image] <= size_b[other])[at]
+        code = at.astype(np.int64) << 33 | np.where(fewer, i, j + len(all_a))
+        ids, at_id = np.unique(code, return_inverse=True)
+        least = np.full(len(ids), 255, np.uint8)
+        np.minimum.at(least, at_id, apart)
+        keep = apart == least[at_id]
+        at, i, j = at[keep], i[keep], j[keep]
+        sure, may = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
+        for turned in (False, True):  # consensus() proposes from the image that has fewer
+            of = ((size_a[image] > size_b[other]) == turned)[at]
+            one = (at[of], j[of], i[of], all_b, all_a) if turned else (at[of], i[of], j[of], all_a, all_b)
+            yes, open_yet = _voted(len(pair), *one, want)
+            sure |= yes
+            may |= open_yet
+        for k in np.flatnonzero(may & matched & ~sure):
+            sure[k] = consensus(a[image[k]], b[other[k]], enough=want[k]) >= want[k]
+        out += list(zip(image[sure].tolist(), other[sure].tolist()))
     return out
 
 
@@ -465,7 +609,9 @@ def _block_links(uri: str, min_inliers: int):
 
         for batch in batches:
             for i, j in zip(*(batch.column(c).to_pylist() for c in ("i", "j"))):
-                (nodes_a, a), (nodes_b, b) = block(i), block(j)
+                nodes_a = a = nodes_b = b = None  # the last blocks are let go before others are read
+                nodes_a, a = block(i)
+                nodes_b, b = block(j) if i != j else (nodes_a, a)
                 pairs = np.array(linked(a, b, min_inliers, i == j), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_a[pairs[:, 0]], pa.int64()), pa.array(nodes_b[pairs[:, 1]], pa.int64())], ["a", "b"])
 
@@ -487,7 +633,7 @@ def copied_images(media: DataFrame, *, radius: int = RADIUS, contrast: int = CON
     images = written(images, "images")
     discard(kept)
     tasks = spark.range(blocks * blocks).select(F.expr(f"id div {blocks}").alias("i"), F.expr(f"id % {blocks}").alias("j")).where("i <= j")
-    tasks = tasks.repartition(max(1, min(blocks * (blocks + 1) // 2, max(4 * cores, blocks * blocks // 64))))
+    tasks = tasks.repartition(max(1, min(blocks * (blocks + 1) // 2, max(16 * cores, blocks * blocks // 64))))
     edges = written(tasks.mapInArrow(_block_links(images.written_to, min_inliers), "a long, b long"), "edges")
     discard(images)
     label = written(connected_components(edges), "labels")

@@ -177,3 +177,13 @@ def test_links_are_those_of_all_pairs(spark):
     want = {i: sum(copies(features[i], features[k]) for k in features if k != i) for i in features}
     got = {r.image: r.links for r in media.copied_images(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert got == {i: n for i, n in want.items() if n} and max(got.values()) >= 6
+
+
+def test_links_are_settled_together(monkeypatch):
+    """All links that consensus over all pairs finds, and hardly a pair is handed to it alone."""
+    a = [media.describe(q[None])[0] for i in range(12) for p in [picture(i)] for q in (p, *list(edits(p).values())[:4])]
+    want = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if copies(a[i], a[j])}
+    alone, calls = media.consensus, []
+    monkeypatch.setattr(media, "consensus", lambda *x, **k: calls.append(1) or alone(*x, **k))
+    assert set(media.linked(a, a, same=True)) == want and len(want) >= 100
+    assert len(calls) <= len(want) / 10
