@@ -130,3 +130,57 @@ def test_pairs_of_large_buckets_equal_brute_force(spark, monkeypatch):
         got = {(r.a, r.b): r.matches for r in minhash.similar_pairs(df, "k", "k", "t", threshold=t, num_perm=64).collect()}
         equal = {(i, j): int((signed[i] == signed[j]).sum()) for i in range(99) for j in range(i + 1, 99)}
         assert got == {p: m for p, m in equal.items() if m / 64 >= t}
+
+
+def alike(count):
+    """Distinct texts, all of them similar to each other."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from seven other animals " * 2
+    return [base + w for w in ("a", "bc", "def", "gh", "i", "jkl", "mno", "pq", "rst", "uv", "wxy", "z", "ab", "cd", "efg", "hi", "jk", "lm", "no", "pqr")[:count]]
+
+
+def test_groups_need_fewer_links_than_texts(spark, monkeypatch):
+    """Links of similar texts grow with the square of the texts; what connects them doesn't."""
+    df = spark.createDataFrame(list(enumerate(alike(20))), "k int, t string")
+    seen = []
+    joined = minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda edges: seen.append(edges.count()) or joined(edges))
+    got = minhash.near_duplicate_groups(df, "k", "t").collect()
+    assert len(got) == 20 and {(r.group_min, r.group_size) for r in got} == {(0, 20)}
+    assert seen[0] < 20
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Neither candidates nor similar pairs are dealt out by their ends, while the ids are few enough for a broadcast."""
+    df = spark.createDataFrame(list(enumerate(alike(12))), "k int, t string")
+    pairs = minhash.similar_pairs(df, "k", "k", "t")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.partition("Union")[2].partition("MapInArrow")[0] and "band" not in plan and "HashAggregate(keys=[a" not in plan
+    assert pairs.count() == 66
+
+
+def test_blocks_compare_all_pairs():
+    """Of signatures of any number of slots, whatever their weights; bits that differ never leave out similar ones."""
+    rng = np.random.default_rng(5)
+    for num_perm, differing in ((7, 4), (64, 20), (128, 25), (300, 0), (300, 90), (8, 8)):
+        slots = rng.integers(0, 2, (90, num_perm)).astype(np.uint64) * rng.integers(0, 2**60, num_perm).astype(np.uint64)
+        slots[40:] = slots[rng.integers(0, 40, 50)]
+        slots[40:] += (rng.random((50, num_perm)) < 0.1).astype(np.uint64)
+        weight = (slots > np.median(slots, axis=0)).sum(1)
+        whole = minhash._Block(np.arange(90), weight, slots)
+        parts = [minhash._Block(np.arange(90)[k::2], weight[k::2], slots[k::2]) for k in (0, 1)]
+        equal = (slots[:, None] == slots[None]).sum(2)
+        want = {(i, j): int(equal[i, j]) for i in range(90) for j in range(i + 1, 90) if equal[i, j] >= num_perm - differing}
+
+        def named(a, b):
+            return {tuple(sorted((int(a.n[i]), int(b.n[j])))): int(m) for p, q, e in minhash._near(a, b, differing) for i, j, m in zip(p, q, e)}
+
+        assert named(whole, whole) == want
+        assert named(parts[0], parts[0]) | named(parts[1], parts[1]) | named(*parts) == want
+
+
+def test_blocks_by_weight_hold_all_rows():
+    for rows, counts in ((10, {0: 3, 2: 4, 3: 25, 4: 1, 9: 30}), (1, {5: 3}), (100, {1: 1, 2: 1})):
+        place, least, most = minhash._cut(counts, rows)
+        assert place.keys() == counts.keys() and sorted(b for b in {x for f, n in place.values() for x in range(f, f + n)}) == list(range(len(least)))
+        assert all(least[b] <= w <= most[b] for w, (f, n) in place.items() for b in range(f, f + n))
+        assert all(-(-counts[w] // n) <= rows for w, (f, n) in place.items())
