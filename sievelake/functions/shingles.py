@@ -31,40 +31,95 @@ def token_hash(token: str) -> int:
 _BITS, _PAD = 21, (1 << 21) - 1  # of a code point, and what is none
 
 
-def packed_ngrams(texts: list[str | None], size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the distinct n-grams, sorted; which of them each text has; the text of each): :func:`ngrams` of many texts at once.
+#: Codes up to which a table of all possible n-grams is looked up; beyond it, n-grams are sorted.
+_TABLE = 1 << 22
 
-    Up to three characters are packed into a number; longer n-grams are rows of code points.
+
+def packed_ngrams(texts: list[str | None], size: int = 3, ready: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct n-grams; which of them each text has; the text of each; how often it has it): :func:`ngrams` of many texts at once.
+
+    Texts of one order: those of a text lie together.  Up to three characters are packed into a number; longer n-grams
+    are rows of code points.  ``ready`` texts are lowered and stripped.
     """
-    ready = [str.strip(t.lower()) if t else "" for t in texts]
-    length = np.array([len(t) for t in ready], np.int64)
-    points = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    count = np.where(length > 0, np.maximum(length - size + 1, 1), 0)
-    row = np.repeat(np.arange(len(ready)), count)
-    begin = np.repeat(np.cumsum(length) - length - (np.cumsum(count) - count), count) + np.arange(len(row))
-    end = np.cumsum(length)[row]
-    points = np.r_[points, np.zeros(size, np.int64)]
-    columns = [np.where(begin + k < end, points[begin + k], _PAD) for k in range(size)]
+    texts = [t or "" for t in texts] if ready else [str.strip(t.lower()) if t else "" for t in texts]
+    length = np.array([len(t) for t in texts], np.int64)
+    gap = size - 1
+    points = np.frombuffer(("\0" * gap).join(texts).encode("utf-32-le", "surrogatepass") + bytes(4 * gap * bool(texts)), np.uint32)
+    start = np.cumsum(length + gap) - length - gap
+    # letters are numbered from 1 in the order of their code points; 0 is what lies between texts
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen)
+    number = np.zeros(len(seen), np.int64)
+    number[letters] = np.arange(1, len(letters) + 1)
+    letter = number[points]
+    for k in range(gap):
+        letter[start + length + k] = 0
+    base = len(letters) + 1
+    grams = base**size
+    if grams * max(1, len(texts)) >= 1 << 62:  # too many for a number: by ranks of the n-grams
+        wide = np.ascontiguousarray(np.stack([np.r_[letter[k:], np.zeros(k, np.int64)] for k in range(size)], 1).astype(">u4"))
+        names, code = np.unique(wide.view(f"S{4 * size}").ravel(), return_inverse=True) if len(wide) else (np.zeros(0, f"S{4 * size}"), np.zeros(0, np.int64))
+        grams = max(1, len(names))
+    else:
+        names, code = None, letter.copy()
+        for k in range(1, size):
+            code *= base
+            code[: len(code) - k] += letter[k:]
+    text = np.repeat(np.arange(len(texts)), length + gap)
+    first = np.zeros(len(points), bool)  # places where an n-gram begins
+    if gap:
+        full, edge = length >= size, np.zeros(len(points) + 1, np.int8)
+        edge[start[length > 0]] += 1
+        edge[(start + np.where(full, length - gap, 1))[length > 0]] -= 1
+        first = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    else:
+        first[:] = True
+    key = (text * grams + code)[first]
+    key.sort()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[at, len(key)])
+    key = key[at]
+    row = key // grams
+    code = key - row * grams
+    if grams <= _TABLE:
+        has = np.zeros(grams, bool)
+        has[code] = True
+        distinct = np.flatnonzero(has)
+        place = np.zeros(grams, np.int64)
+        place[distinct] = np.arange(len(distinct))
+        which = place[code]
+    else:
+        distinct, which = np.unique(code, return_inverse=True)
+    if names is None:
+        parts = [distinct // base ** (size - 1 - k) % base for k in range(size)]
+    else:
+        parts = list(np.ascontiguousarray(names[distinct]).view(">u4").reshape(len(distinct), size).astype(np.int64).T)
+    of = np.r_[_PAD, letters]
+    columns = [of[p] for p in parts]
     if size <= 3:
-        key = columns[0]
+        packed = columns[0]
         for c in columns[1:]:
-            key = key << _BITS | c
+            packed = packed << _BITS | c
     else:
         wide = np.ascontiguousarray(np.stack(columns, 1).astype(">u4"))
-        key = wide.view(f"S{4 * size}").ravel() if len(wide) else np.zeros(0, f"S{4 * size}")
-    grams, at = np.unique(key, return_inverse=True)
-    has = np.unique(row * len(grams) + at) if len(row) else row
-    return grams, has % max(len(grams), 1), has // max(len(grams), 1)
+        packed = wide.view(f"S{4 * size}").ravel() if len(wide) else np.zeros(0, f"S{4 * size}")
+    return packed, which, row, count
 
 
-def token_hashes(grams: np.ndarray, size: int) -> np.ndarray:
-    """:func:`token_hash` of n-grams that :func:`packed_ngrams` made."""
+def gram_texts(grams: np.ndarray, size: int) -> list[str]:
+    """The n-grams that :func:`packed_ngrams` made, as strings."""
     if size <= 3:
         points = [[p for p in (g >> _BITS * k & _PAD for k in range(size - 1, -1, -1)) if p != _PAD] for g in grams.tolist()]
     else:
-        wide = np.ascontiguousarray(grams).view(">u4").reshape(len(grams), -1).tolist()
+        wide = np.ascontiguousarray(grams).view(">u4").reshape(len(grams), size).tolist()
         points = [[p for p in g if p != _PAD] for g in wide]
-    return np.array([token_hash("".join(map(chr, p))) for p in points], np.uint64)
+    return ["".join(map(chr, p)) for p in points]
+
+
+def token_hashes(grams: np.ndarray, size: int) -> np.ndarray:
+    """:func:`token_hash` of n-grams that :func:`packed_ngrams` made."""
+    return np.array([token_hash(g) for g in gram_texts(grams, size)], np.uint64)
 
 
 def mixed64(x: np.ndarray) -> np.ndarray:

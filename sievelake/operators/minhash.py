@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sievelake.functions.shingles import BLANK_SLOT, hash_family, mixed64, packed_ngrams, permuted, token_hashes
 from sievelake.operators.components import component_labels, connected_components
@@ -69,23 +70,18 @@ class MinHasher:
         return out
 
     def _fill(self, texts: list[str | None], out: np.ndarray) -> None:
-        grams, at, row = packed_ngrams(texts, self.ngram_size)  # distinct n-grams; which of them each text has, by text
+        grams, at, row, _ = packed_ngrams(texts, self.ngram_size)  # distinct n-grams; which of them each text has, by text
         if not len(grams):
             return
-        place = self._known(grams)
+        at = self._known(grams)[at]
         edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        end = np.r_[edge[1:], len(row)]
         step = max(1, _GATHERED_VALUES // self.num_perm)
-        k = 0
-        while k < len(edge):
-            last = max(k + 1, int(np.searchsorted(end, edge[k] + step, "right")))
-            if end[last - 1] - edge[k] <= step:
-                values = self.values[place[at[edge[k] : end[last - 1]]]]
-                out[row[edge[k:last]]] = np.minimum.reduceat(values, edge[k:last] - edge[k], axis=0)
-            else:  # one text of very many n-grams
-                parts = [self.values[place[at[i : min(i + step, end[k])]]].min(0) for i in range(edge[k], end[k], step)]
-                out[row[edge[k]]] = np.min(parts, 0)
-            k = last
+        gathered = np.empty((min(step, int(np.diff(np.r_[edge, len(row)]).max())), self.num_perm), np.uint64)
+        for begin, end in zip(edge.tolist(), np.r_[edge[1:], len(row)].tolist()):
+            slots = out[row[begin]]
+            for i in range(begin, end, step):  # a text of very many n-grams takes several
+                values = self.values.take(at[i : min(i + step, end)], axis=0, out=gathered[: min(step, end - i)], mode="clip").min(0)
+                slots[:] = values if i == begin else np.minimum(slots, values)
 
     def _known(self, grams: np.ndarray) -> np.ndarray:
         """Row of ``values`` of each n-gram; those of new ones are computed."""
@@ -120,6 +116,23 @@ def signatures(texts: DataFrame, key: str, text: str, *, num_perm: int = NUM_PER
     return texts.select(F.col(key), signed(F.col(text).cast("string")).alias("signature"))
 
 
+def signature_rows(texts: DataFrame, key: str, text: str, *, num_perm: int = NUM_PERM, ngram_size: int = NGRAM_SIZE, seed: int = 42) -> DataFrame:
+    """(key, slot, value) of every slot of :func:`signatures`; Python makes the rows, as exploding arrays costs as much as filling them."""
+    hasher = MinHasher(num_perm, ngram_size, seed)
+    ready = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                value = hasher.many(batch.column("text").to_pylist()).astype(np.int64).ravel()
+                keys = batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), num_perm)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(num_perm, dtype=np.int32), batch.num_rows)), pa.array(value)], ["key", "slot", "value"])
+
+    schema = StructType([ready.schema["key"], StructField("slot", IntegerType()), StructField("value", LongType())])
+    return ready.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
 def needed_matches(num_perm: int, threshold: float) -> int:
     """The least number of equal slots whose share reaches the threshold; more than there are, if none does."""
     return next((m for m in range(num_perm + 1) if m / num_perm >= threshold), num_perm + 1)

@@ -69,8 +69,7 @@ def _token_hash(s: SparkSession, d: str) -> DataFrame:
 
 
 def _signature(s: SparkSession, d: str) -> DataFrame:
-    signed = minhash.signatures(spread(_docs(s, d)), "doc_id", "text", num_perm=SLOTS)
-    return signed.select("doc_id", F.posexplode("signature").alias("slot", "value"))
+    return minhash.signature_rows(spread(_docs(s, d)), "doc_id", "text", num_perm=SLOTS)
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:

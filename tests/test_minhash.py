@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,3 +185,26 @@ def test_blocks_by_weight_hold_all_rows():
         assert place.keys() == counts.keys() and sorted(b for b in {x for f, n in place.values() for x in range(f, f + n)}) == list(range(len(least)))
         assert all(least[b] <= w <= most[b] for w, (f, n) in place.items() for b in range(f, f + n))
         assert all(-(-counts[w] // n) <= rows for w, (f, n) in place.items())
+
+
+def test_signature_rows_are_made_without_exploding(spark):
+    df = spark.createDataFrame([*enumerate(ODD), (None, "abc"), (3, None)], "k int, t string")
+    got = minhash.signature_rows(df, "k", "t", num_perm=20)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(k, i, v) for k, t in [*enumerate(ODD), (None, "abc"), (3, "")] for i, v in enumerate(slot_by_slot(t, 20, 3))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == ["k", "slot", "value"]
+
+
+def test_many_texts_at_once_have_the_ngrams_and_counts_of_single_texts(monkeypatch):
+    """With tables of all possible n-grams, by sorting, and by ranks where a number can't hold one."""
+    rng = random.Random(2)
+    letters = [chr(c) for c in (0, 32, 97, 98, 99, 0x130, 0x3A3, 0x1F600, 0x10FFFF, 0xD800)]
+    for table in (1 << 22, 1):
+        monkeypatch.setattr(shingles, "_TABLE", table)
+        for n in (1, 2, 3, 4, 5, 30) * 10:
+            texts = [None, *("".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 4, 9, 40]))) for _ in range(rng.randrange(8)))][rng.randrange(2) :]
+            grams, at, row, count = shingles.packed_ngrams(texts, n)
+            names, got = shingles.gram_texts(grams, n), {}
+            for a, r, c in zip(at, row, count):
+                got.setdefault(int(r), {})[names[a]] = int(c)
+            assert len(set(names)) == len(names) and got == {i: dict(Counter(g)) for i, t in enumerate(texts) if t and (g := shingles.ngrams(t, n))}
