@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from sievelake.storage import sized_broadcast, written
 
 PRIME = (1 << 61) - 1
 #: What every slot of a text without tokens holds.
@@ -169,3 +175,68 @@ def token_hash_column(gram: Column) -> Column:
     digest = F.md5(gram)
     swapped = F.concat(*(F.substring(digest, i, 2) for i in (7, 5, 3, 1)))
     return F.conv(swapped, 16, 10).cast("bigint")
+
+
+#: Characters of the texts whose n-grams a task finds at once (one text may be longer), and distinct n-grams that it keeps.
+_CHARACTERS, _KEPT = 1 << 20, 1 << 18
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) for slices of about _CHARACTERS characters."""
+    length = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(length, (length[begin - 1] if begin else 0) + _CHARACTERS, "right")))
+        yield begin, texts.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
+def _ready(texts: DataFrame, key: str | None, text: str) -> DataFrame:
+    return texts.select(*([F.col(key).alias("key")] if key else []), stripped(F.col(text).cast("string")).alias("text")).where("text <> ''")
+
+
+def ngram_counts(texts: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
+    """(key, gram, cnt): how often each n-gram occurs in the texts of a key.
+
+    N-grams are counted text by text where the text is read.  Only counts of keys of several rows, which are
+    found by a pass over the keys, are shuffled and summed.
+    """
+    ready = _ready(texts, key, text)
+
+    def run(batches):
+        for batch in batches:
+            keys, column = batch.column("key"), batch.column("text")
+            for begin, part in _slices(column):
+                grams, at, row, count = packed_ngrams(part, size, ready=True)
+                names = pa.array(gram_texts(grams, size), pa.string())
+                for i in range(0, len(at), 1 << 17):
+                    some = slice(i, i + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(begin + row[some])), names.take(pa.array(at[some])), pa.array(count[some])], ["key", "gram", "cnt"])
+
+    schema = StructType([ready.schema["key"], StructField("gram", StringType()), StructField("cnt", LongType(), False)])
+    several = written(texts.select(F.col(key).alias("several")).groupBy("several").count().where("count > 1").select("several"), "keys-of-several-rows")
+    named = ready.mapInArrow(run, schema)
+    if several.count():
+        same, side = F.col("key").eqNullSafe(F.col("several")), sized_broadcast(several, 64)
+        once = ready.join(side, same, "left_anti").mapInArrow(run, schema)
+        summed = ready.join(side, same, "left_semi").mapInArrow(run, schema).groupBy("key", "gram").agg(F.sum("cnt").alias("cnt"))
+        named = once.union(summed.select("key", "gram", "cnt"))
+    return named.withColumnRenamed("key", key)
+
+
+def distinct_ngrams(texts: DataFrame, text: str, size: int = 3) -> DataFrame:
+    """(gram): every n-gram of the texts once.  A task hands on each that it still knows once; it forgets all when they are too many."""
+
+    def run(batches):
+        known: set[int | bytes] = set()
+        for batch in batches:
+            for _, part in _slices(batch.column("text")):
+                grams = packed_ngrams(part, size, ready=True)[0]
+                new = np.array([g not in known for g in grams.tolist()], bool)
+                if new.any():
+                    if len(known) > _KEPT:
+                        known.clear()
+                    known.update(grams[new].tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(gram_texts(grams[new], size), pa.string())], ["gram"])
+
+    return _ready(texts, None, text).mapInArrow(run, StructType([StructField("gram", StringType())])).distinct()

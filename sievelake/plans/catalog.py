@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.hashing import content_sha256
-from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, hash_family, ngram_rows, token_hash_column
+from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, hash_family, ngram_counts, ngram_rows, token_hash_column
 from sievelake.operators import inventory, minhash, reports
 from sievelake.storage import spread
 
@@ -60,7 +60,7 @@ def _diff_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ngrams(s: SparkSession, d: str) -> DataFrame:
-    return ngram_rows(spread(_docs(s, d)), "doc_id", "text").groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
+    return ngram_counts(spread(_docs(s, d)), "doc_id", "text")
 
 
 def _token_hash(s: SparkSession, d: str) -> DataFrame:

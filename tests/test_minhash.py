@@ -208,3 +208,16 @@ def test_many_texts_at_once_have_the_ngrams_and_counts_of_single_texts(monkeypat
             for a, r, c in zip(at, row, count):
                 got.setdefault(int(r), {})[names[a]] = int(c)
             assert len(set(names)) == len(names) and got == {i: dict(Counter(g)) for i, t in enumerate(texts) if t and (g := shingles.ngrams(t, n))}
+
+
+def test_ngrams_of_single_rows_are_not_shuffled(spark, monkeypatch):
+    """Repeated and null keys are summed over their rows; the other keys' n-grams stay where they are."""
+    monkeypatch.setattr(shingles, "_CHARACTERS", 50)
+    rows = [*enumerate(ODD), (None, "abcabc"), (None, "xabc"), (3, "bcabc"), (3, None), (40, None), (41, "aaaa")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    want = Counter((k, g) for k, t in rows for g in shingles.ngrams(t or ""))
+    got = shingles.ngram_counts(df, "k", "t")
+    assert got.columns == ["k", "gram", "cnt"] and Counter({(r.k, r.gram): r.cnt for r in got.collect()}) == want and got.count() == len(want)
+    single = shingles.ngram_counts(df.where("k <> 3"), "k", "t")
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and single.count() == len([k for k in want if k[0] not in (None, 3)])
