@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.hashing import content_sha256
-from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, hash_family, ngram_counts, ngram_rows, token_hash_column
+from sievelake.functions.shingles import BLANK_SLOT, PRIME, SPACE, distinct_ngrams, hash_family, ngram_counts, token_hash_column
 from sievelake.operators import inventory, minhash, reports
 from sievelake.storage import spread
 
@@ -64,7 +64,7 @@ def _ngrams(s: SparkSession, d: str) -> DataFrame:
 
 
 def _token_hash(s: SparkSession, d: str) -> DataFrame:
-    grams = ngram_rows(spread(_docs(s, d)), "doc_id", "text").select("gram").distinct()
+    grams = distinct_ngrams(spread(_docs(s, d)), "text")
     return grams.select("gram", token_hash_column(F.col("gram")).alias("h"))
 
 

@@ -221,3 +221,23 @@ def test_ngrams_of_single_rows_are_not_shuffled(spark, monkeypatch):
     single = shingles.ngram_counts(df.where("k <> 3"), "k", "t")
     plan = single._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan and single.count() == len([k for k in want if k[0] not in (None, 3)])
+
+
+@pytest.mark.parametrize("kept", [2, 1 << 18])
+def test_tasks_hand_on_distinct_ngrams(spark, monkeypatch, kept):
+    """A task's n-grams meet no others before they are distinct, also where it forgets some."""
+    monkeypatch.setattr(shingles, "_CHARACTERS", 50)
+    monkeypatch.setattr(shingles, "_KEPT", kept)
+    df = spark.createDataFrame([(t,) for t in [*ODD, *ODD, None]], "t string")
+    for n in (1, 3, 5):
+        found = shingles.distinct_ngrams(df, "t", n)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.gram for r in found.collect()) == sorted({g for t in ODD for g in shingles.ngrams(t, n)})
+
+
+def test_registered_ngrams_and_hashes_are_found_text_by_text(spark):
+    from sievelake.plans import catalog
+
+    for name in ("ngrams", "token_hash"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
